@@ -118,7 +118,7 @@ def recurring_lines(ws: Workspace, docs: DataFrame, min_docs: int = MIN_DOCS) ->
     open_ = once.join(several, "leaf").select("leaf", "key", "n_lines", "doc_id", "line")
     open_ = ws.write(open_)
     wanted = open_.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
-    found = docs.join(wanted, "doc_id").select("text", "lines").mapInArrow(_words_of, "leaf long, key long, words array<long>")
+    found = docs.join(wanted.hint("merge"), "doc_id").select("text", "lines").mapInArrow(_words_of, "leaf long, key long, words array<long>")
     found = found.dropDuplicates(["leaf", "key"])
     words = ws.write(found.join(open_.select("leaf", "key", "n_lines"), ["leaf", "key"]).select("leaf", "key", "n_lines", F.posexplode("words").alias("place", "word")))
     counts = words.groupBy("leaf", "place", "word").agg(F.count("*").alias("n"), F.first("n_lines").alias("n_lines"))
@@ -150,7 +150,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     ws = Workspace(docs.sparkSession)
     docs = docs.drop("n_dropped").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     gone = recurring_lines(ws, docs.select("doc_id", "text"), min_docs).groupBy("doc_id").agg(F.collect_set("line").alias("n_dropped"))
-    touched = docs.join(gone, "doc_id", "left").select(*docs.columns, "n_dropped")
+    touched = docs.join(gone.hint("merge"), "doc_id", "left").select(*docs.columns, "n_dropped")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_dropped", T.LongType())])
     return touched.mapInArrow(_without(docs.columns.index("text")), schema)
 
