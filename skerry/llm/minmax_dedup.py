@@ -8,7 +8,8 @@ values make candidate pairs, and every link is confirmed on the full shingle set
 Work per group of copies stays linear where it can: equal sets collapse to one
 representative before banding; in a bucket each member is first compared with
 the bucket's pivot alone; only buckets whose members are still in different
-components afterwards compare members across those components.
+components afterwards are searched further, by an exact prefix filter over the
+shingles that different components share.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm import textnum as tn
@@ -95,22 +96,44 @@ def _sets(k: int):
             data, offsets = tn.buffers(batch.column(1))
             for lo, hi in tn.blocks(offsets):
                 bounds, x = tn.shingles(tn.words(data, offsets[lo : hi + 1]), hi - lo, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(x, np.diff(bounds))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(x, np.diff(bounds))], ["rep", "shingles"])
 
     return run
 
 
-def _linked(ws: Workspace, docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _linked(ws: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = ws.write(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles array<long>"))
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"), F.size("shingles").alias("n_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"), F.size("shingles").alias("n_b"))
+    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"), F.size("shingles").cast("long").alias("n_a"))
+    b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"), F.size("shingles").cast("long").alias("n_b"))
     near = F.expr(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
-    sized = pairs.join(a.select("a", "n_a"), "a").join(b.select("b", "n_b"), "b").where(near).select("a", "b")
-    both = sized.join(a, "a").join(b, "b").withColumn("inter", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
-    out = ws.write(both.where(F.expr(f"100L * inter >= {percent}L * (n_a + n_b - inter)")).select("a", "b").distinct())
-    ws.drop(sets)
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(near)
+    both = both.withColumn("inter", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
+    return ws.write(both.where(F.expr(f"100L * inter >= {percent}L * (n_a + n_b - inter)")).select("a", "b").distinct())
+
+
+def _across(ws: Workspace, apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of representatives with different labels that may still link; no link is missed.
+
+    ``apart`` has rep and label.  A link across labels consists of shingles that two
+    labels have, so representatives with too few of those can't have one.  Of the
+    others, a link shares one of each side's rarest shingles (prefix filter: all but
+    percent of the set, plus one).  Per shingle only members outside its largest
+    label are joined with the others.
+    """
+    tokens = apart.join(sets, "rep").select("rep", "label", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
+    seen = tokens.groupBy("g").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g", "df")
+    shared = tokens.join(seen.hint("merge"), "g")
+    own = Window.partitionBy("rep")
+    shared = shared.withColumn("place", F.row_number().over(own.orderBy("df", "g"))).withColumn("s", F.count("*").over(own))
+    prefix = F.expr(f"n - cast(ceil({percent} * n / 100.0) as bigint) + 1 - (n - s)")
+    # From the first common shingle on, a pair has at most this many in common.
+    prefix = ws.write(shared.where(F.col("place") <= prefix).select("g", "rep", "label", "n", (F.col("s") - F.col("place") + 1).alias("most")))
+    largest = prefix.groupBy("g", "label").count().groupBy("g").agg(F.max(F.struct("count", "label")).alias("top")).select("g", F.col("top.label").alias("major"))
+    few = prefix.join(largest, "g").where("label <> major").select("g", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("most").alias("mx"))
+    enough = f"{100 + percent}L * least(most, mx) >= {percent}L * (n + nx)"
+    pairs = few.join(prefix, "g").where(F.expr(f"label <> lx and 100L * least(n, nx) >= {percent}L * greatest(n, nx) and {enough}"))
+    out = ws.write(pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct())
+    ws.drop(prefix)
     return out
 
 
@@ -157,27 +180,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last")
     members = ws.write(buckets.join(shared, "key").select("key", "rep", "pivot"))
     first = ws.write(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-    links = _linked(ws, docs, first, k, percent)
+    ids = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "rep long, shingles array<long>")
+    sets = ws.write(sets)
+    links = _linked(ws, first, sets, percent)
     labels = components(ws, links)
 
-    def labelled() -> DataFrame:
-        own = labels.select(F.col("node").alias("rep"), "component")
-        return members.select("key", "rep").join(own, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-
-    apart = labelled()
+    own = labels.select(F.col("node").alias("rep"), "component")
+    apart = members.select("key", "rep").join(own, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
     mixed = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = ws.write(apart.join(mixed, "key").distinct())
-    x = open_.select("key", F.col("rep").alias("a"), F.col("label").alias("la"))
-    y = open_.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    rest = x.join(y, "key").where("a < b and la <> lb").select("a", "b").distinct()
-    rest = ws.write(rest.join(first, ["a", "b"], "left_anti"))
+    rest = _across(ws, ws.write(apart.join(mixed, "key").select("rep", "label").distinct()), sets, percent)
     if not rest.isEmpty():
-        more = _linked(ws, docs, rest, k, percent)
-        labels = components(ws, links.union(more))
+        labels = components(ws, links.union(_linked(ws, rest, sets, percent)))
+    ws.drop(sets)
     own = labels.select(F.col("node").alias("rep"), "component")
     reps = groups.select("fp_a", "fp_b", "n_shingles", "rep").join(own, "rep", "left")
     reps = reps.select("fp_a", "fp_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.drop("bands").join(reps, ["fp_a", "fp_b", "n_shingles"], "left")
+    out = sketch.drop("bands").join(reps.hint("merge"), ["fp_a", "fp_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), None).otherwise(component)
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -186,7 +205,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns, without the documents that ``near_duplicates`` doesn't keep; of each group the smallest doc_id stays."""
     gone = near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op7_minmax_dedup(spark, sf_dir: str) -> DataFrame:
