@@ -49,10 +49,6 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[tn.Words, np.ndarray,
     return w, inverse, buf, bounds
 
 
-def _linear(lattice: Lattice, prob: np.ndarray) -> np.ndarray:
-    return prob[lattice.piece] * (GAIN ** lattice.length)[:, None]
-
-
 def word_scores(v: Vocabulary, prob: np.ndarray, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """(words, languages): log of the sum over all segmentations."""
     sizes = np.diff(bounds)
@@ -61,7 +57,7 @@ def word_scores(v: Vocabulary, prob: np.ndarray, buf: np.ndarray, bounds: np.nda
     if short.any():
         own = np.concatenate([[0], np.cumsum(sizes[short])])
         lattice = Lattice(v.trie, buf[tn.ragged(bounds[:-1][short], sizes[short])], own)
-        total = lattice.forward(_linear(lattice, prob))[lattice.last]
+        total = lattice.forward(prob, GAIN)[lattice.last]
         out[short] = np.log(total) - (sizes[short] * np.log(GAIN))[:, None]
     for i in np.flatnonzero(~short):  # a long word would leave the range of a double
         lattice = Lattice(v.trie, buf[bounds[i] : bounds[i + 1]], np.array([0, sizes[i]]))
@@ -90,8 +86,9 @@ def fit(v: Vocabulary, texts: dict[str, list[str]], rounds: int = ROUNDS) -> Mod
     for _ in range(rounds):
         counts = np.zeros_like(prob)
         for i, (lattice, count, sizes) in enumerate(lattices):
-            p = _linear(lattice, prob[:, i : i + 1])
-            forward, backward = lattice.forward(p)[:, 0], lattice.backward(p)[:, 0]
+            own = prob[:, i : i + 1]
+            forward, backward = lattice.forward(own, GAIN)[:, 0], lattice.backward(own, GAIN)[:, 0]
+            p = lattice.weights(own, GAIN, 0, len(lattice.piece))
             each = np.repeat(count / forward[lattice.last], sizes + 1)
             expected = forward[lattice.src] * p[:, 0] * backward[lattice.dst] * each[lattice.src]
             counts[:, i] = np.bincount(np.where(lattice.piece < 0, v.size, lattice.piece), expected, minlength=v.size + 1)
@@ -123,10 +120,10 @@ def _run(shared):
         for batch in batches:
             text = batch.column(1)
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            data, offsets = tn.buffers(pc.utf8_lower(text))
-            for lo, hi in tn.blocks(offsets, 2 * tn.BLOCK):
+            _, offsets = tn.buffers(text)
+            for lo, hi in tn.blocks(offsets):
                 if model.languages:
-                    best, score = predict_block(v, model, data, offsets[lo : hi + 1])
+                    best, score = predict_block(v, model, *tn.buffers(pc.utf8_lower(text.slice(lo, hi - lo))))
                 else:
                     best, score = np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
                 known = letters[lo:hi]

@@ -149,17 +149,17 @@ class Lattice:
     """
 
     def __init__(self, trie: Trie, buf: np.ndarray, offsets: np.ndarray):
+        i4 = np.int32
         n, sizes = len(buf), np.diff(offsets)
-        chunk = np.repeat(np.arange(len(sizes)), sizes)
-        limit = offsets[1:][chunk]
-        width = char_lengths(buf)
-        at = np.flatnonzero(width)
-        node = np.zeros(len(at), dtype=np.int64)
+        chunk = np.repeat(np.arange(len(sizes), dtype=i4), sizes)
+        limit = offsets[1:].astype(i4)[chunk]
+        width = char_lengths(buf).astype(np.int8)
+        origin = np.flatnonzero(width).astype(i4)
+        node = np.zeros(len(origin), dtype=i4)
         pos, length, piece = [], [], []
         single = np.zeros(n, dtype=bool)
-        origin = at
         for k in range(trie.longest):
-            to = trie.base[node] + buf[origin + k].astype(np.int64)
+            to = trie.base[node] + buf[origin + k]
             ok = (trie.check[to] == node) & (to > 0)
             origin, node = origin[ok], to[ok]
             if not len(origin):
@@ -168,37 +168,40 @@ class Lattice:
             hit = end >= 0
             p = origin[hit]
             pos.append(p)
-            length.append(np.full(len(p), k + 1, dtype=np.int64))
-            piece.append(end[hit].astype(np.int64))
+            length.append(np.full(len(p), k + 1, dtype=i4))
+            piece.append(end[hit])
             single[p[width[p] == k + 1]] = True
-            more = origin + k + 1 < limit[origin]
+            more = origin + (k + 1) < limit[origin]
             origin, node = origin[more], node[more]
-        p = np.flatnonzero((width > 0) & ~single)
+        p = np.flatnonzero((width > 0) & ~single).astype(i4)
         pos.append(p)
-        length.append(np.minimum(width[p], limit[p] - p))
-        piece.append(np.full(len(p), -1, dtype=np.int64))
+        length.append(np.minimum(width[p], limit[p] - p).astype(i4))
+        piece.append(np.full(len(p), -1, dtype=i4))
         p, size, piece = (np.concatenate(x) for x in (pos, length, piece))
-        order = np.argsort((p + size - offsets[:-1][chunk[p]]) * (n + 1) + p + size, kind="stable")
-        p, self.length, self.piece = p[order], size[order], piece[order]
-        self.src = p + chunk[p]
+        del pos, length, limit, single, width
+        start = offsets[:-1].astype(i4)
+        order = np.argsort((p + size - start[chunk[p]]).astype(np.int64) * (n + 1) + (p + size), kind="stable").astype(i4)
+        self.pos, self.length, self.piece = p[order], size[order], piece[order]
+        del p, size, piece, order
+        own = chunk[self.pos]
+        self.src = self.pos + own
         self.dst = self.src + self.length
-        self.pos = p
-        self.first = offsets[:-1] + np.arange(len(sizes))
-        self.last = self.first + sizes
+        self.first = (offsets[:-1] + np.arange(len(sizes))).astype(i4)
+        self.last = self.first + sizes.astype(i4)
         self.slots = n + len(sizes)
-        depth = self.dst - self.first[chunk[p]]
-        run = np.flatnonzero(np.diff(self.dst, prepend=-1) != 0) if len(p) else np.zeros(0, np.int64)
-        cut = np.searchsorted(depth[run], np.arange(1, (int(depth[-1]) if len(p) else 0) + 2))
-        self.steps = [(run[a:b], int(run[a]), int(run[b]) if b < len(run) else len(p)) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
+        run = np.flatnonzero(np.diff(self.dst, prepend=i4(-1)) != 0)
+        depth = (self.dst - self.first[own])[run]
+        cut = np.searchsorted(depth, np.arange(1, (int(depth[-1]) if len(run) else 0) + 2))
+        self.steps = [(run[a:b], int(run[a]), int(run[b]) if b < len(run) else len(self.dst)) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
 
     def best(self, score: np.ndarray, unknown: float) -> np.ndarray:
         """Viterbi: the edge by which the best path reaches each slot (-1: none); among equals the shortest."""
         value = np.full(self.slots, -np.inf)
         value[self.first] = 0.0
         back = np.full(self.slots, -1, dtype=np.int64)
-        s = np.where(self.piece >= 0, score[self.piece], unknown)
+        score = np.append(score, unknown)  # piece -1
         for run, lo, hi in self.steps:
-            c = value[self.src[lo:hi]] + s[lo:hi]
+            c = value[self.src[lo:hi]] + score[self.piece[lo:hi]]
             top = np.maximum.reduceat(c, run - lo)
             sizes = np.diff(np.append(run, hi))
             where = np.where(c == np.repeat(top, sizes), np.arange(lo, hi), hi)
@@ -207,18 +210,22 @@ class Lattice:
             back[target] = np.minimum.reduceat(where, run - lo)
         return back
 
-    def forward(self, prob: np.ndarray) -> np.ndarray:
-        """(slots, models): sums over all segmentations up to each slot; ``prob`` is (edges, models)."""
+    def weights(self, prob: np.ndarray, gain: float, lo: int, hi: int) -> np.ndarray:
+        """(edges, models) of edges lo:hi; ``prob`` is (pieces + 1, models), each byte is scaled by ``gain``."""
+        return prob[self.piece[lo:hi]] * (gain ** self.length[lo:hi])[:, None]
+
+    def forward(self, prob: np.ndarray, gain: float) -> np.ndarray:
+        """(slots, models): sums over all segmentations up to each slot."""
         value = np.zeros((self.slots, prob.shape[1]))
         value[self.first] = 1.0
         for run, lo, hi in self.steps:
-            value[self.dst[run]] = np.add.reduceat(value[self.src[lo:hi]] * prob[lo:hi], run - lo, axis=0)
+            value[self.dst[run]] = np.add.reduceat(value[self.src[lo:hi]] * self.weights(prob, gain, lo, hi), run - lo, axis=0)
         return value
 
-    def backward(self, prob: np.ndarray) -> np.ndarray:
+    def backward(self, prob: np.ndarray, gain: float) -> np.ndarray:
         """The same from each slot to its chunk's end."""
         value = np.zeros((self.slots, prob.shape[1]))
         value[self.last] = 1.0
         for _, lo, hi in reversed(self.steps):
-            value[self.src[lo:hi]] += value[self.dst[lo:hi]] * prob[lo:hi]
+            value[self.src[lo:hi]] += value[self.dst[lo:hi]] * self.weights(prob, gain, lo, hi)
         return value
