@@ -34,7 +34,7 @@ SAMPLE, SEQUENCE, ROUNDS, SEED = 3000, 48, 12, 7
 #: Sequences without a secret in the fit; those with digits or joined words come first.
 PLAIN = 3000
 #: Score that a word must gain over outside before it is tagged.
-MARGIN = 2.0
+MARGIN = 1.0
 #: Letters, digits and + - . / _ and all bytes of other characters make words.
 SEPARATORS = tuple(b for b in range(128) if not (chr(b).isalnum() or chr(b) in "+-./_"))
 O, B, I = 0, 1, 2
@@ -42,8 +42,8 @@ O, B, I = 0, 1, 2
 _CLASS = np.full(256, 3, dtype=np.int8)  # upper, lower, digit, symbol, other
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 4
 WORD_BUCKETS = 1 << 13
-#: Feature groups and their sizes: own shape, length, digits, changes; shapes of both neighbours; words before (two) and after; characters before and after; document.
-SIZES = (32, 16, 8, 8, 33, 33, WORD_BUCKETS + 1, WORD_BUCKETS + 1, WORD_BUCKETS + 1, 257, 257, 27)
+#: Feature groups and their sizes: own shape, length, digits, shape with changes; shapes of both neighbours; words before (two) and after; characters before and after; document.
+SIZES = (32, 5, 8, 256, 33, 33, WORD_BUCKETS + 1, WORD_BUCKETS + 1, WORD_BUCKETS + 1, 257, 257, 27)
 _FIRST = np.concatenate([[0], np.cumsum(SIZES)])
 
 
@@ -62,9 +62,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[tn.Words, np.ndarra
     shape = ((own > 0) * np.array([1, 2, 4, 8, 16])[:, None]).sum(axis=0)
     change = np.concatenate([[0], np.cumsum(np.diff(cls, prepend=cls[:1]) != 0, dtype=np.int32)])
     changes = change[e] - change[s + 1]
-    length = np.minimum(np.where(size < 12, size, 12 + (size >= 16) + (size >= 24) + (size >= 40)), 15)
+    length = np.searchsorted((4, 8, 12, 16), size, side="right")
     digits = np.where(own[2] == 0, 0, 1 + np.minimum(own[2] * 6 // size, 6))
-    changes = np.minimum(np.ceil(np.log2(changes + 1)).astype(np.int64), 7)
+    changes = shape * 8 + np.minimum(np.ceil(np.log2(changes + 1)).astype(np.int64), 7)
     word = np.where((size <= 16) & (own[2] == 0), (w.hash % np.uint64(WORD_BUCKETS)).astype(np.int64), WORD_BUCKETS)
 
     def near(x: np.ndarray, by: int, none: int) -> np.ndarray:
@@ -133,7 +133,7 @@ def fit(index: np.ndarray, tags: np.ndarray, rounds: int = ROUNDS) -> Field:
             told = np.zeros((3, 3))
             np.add.at(told, (y[:, :-1][both], y[:, 1:][both]), 1)
             grad_t = told - pair[both].sum(axis=0)
-            grad, grad_t = grad / m - 1e-4 * field.weight, grad_t / m
+            grad, grad_t = grad / m - 1e-3 * field.weight, grad_t / m
             g_w += grad**2
             g_t += grad_t**2
             field.weight += 0.3 * grad / np.sqrt(g_w)
