@@ -44,23 +44,27 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
 def _propagate(ws: Workspace, state: DataFrame, quota: list[int], rounds: int) -> DataFrame:
     """Rounds of moves on (group, held), ``held`` the group's documents by shard."""
     shards = len(quota)
-    for _ in range(rounds):
+    for turn in range(rounds):
         free = [max(0, q - x) for q, x in zip(quota, _loads(state, shards), strict=True)]
-        most = F.array_max("held")
-        here = state.withColumn("to", F.array_position("held", most).cast("int") - 1)
+        # Towards the shard with most neighbours among those with room; never away from one with more.
+        room = F.array(*(F.lit(x) for x in free))
+        with_room = F.zip_with("held", room, lambda n, f: F.when(f > 0, n).otherwise(-1))
+        most = F.array_max(with_room)
+        here = state.withColumn("to", F.array_position(with_room, most).cast("int") - 1).where(most > 0)
         asks = here.select(
             "group", "held", "to",
             F.explode(F.transform("held", lambda n, s: F.struct(s.alias("from"), n.alias("n"), (most - n).alias("gain")))).alias("m"),
-        ).where("m.from <> to and m.n > 0").select("group", "to", "m.from", "m.n", "m.gain")
+        ).where("m.n > 0 and (m.gain > 0 or m.gain = 0 and m.from > to)").select("group", "to", "m.from", "m.n", "m.gain")
         # Cells in the order of acceptance: gain by powers of two, then a hash.
         cell = (F.lit(CELLS * 64) - CELLS * F.floor(F.log2(F.col("gain") + 1.0)) - F.pmod(F.xxhash64("group"), F.lit(CELLS))).cast("int")
         asks = ws.write(asks.withColumn("cell", cell))
         sums = asks.groupBy("to", "cell").agg(F.sum("n").alias("asked"))  # at most shards * 64 * CELLS rows
         before = Window.partitionBy("to").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-        room = F.element_at(F.array(*(F.lit(x) for x in free)), F.col("to") + 1).cast("long")
-        left = F.greatest(F.lit(0), room - F.coalesce(F.sum("asked").over(before), F.lit(0)))
+        left = F.greatest(F.lit(0), F.element_at(room, F.col("to") + 1).cast("long") - F.coalesce(F.sum("asked").over(before), F.lit(0)))
         grants = sums.select("to", "cell", "asked", left.alias("left"))
-        share = F.when(F.col("left") >= F.col("asked"), F.col("n")).otherwise(F.floor(F.col("n") * F.col("left") / F.col("asked")))
+        # A cell that fits in part is granted in proportion, rounded at random; a slight excess is placed at the end.
+        chance = F.pmod(F.xxhash64("group", "from", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        share = F.when(F.col("left") >= F.col("asked"), F.col("n")).otherwise(F.least(F.col("n"), F.floor(F.col("n") * F.col("left") / F.col("asked") + chance)))
         moves = asks.join(F.broadcast(grants), ["to", "cell"]).select("group", "to", "from", share.cast("long").alias("n")).where("n > 0")
         change = moves.groupBy("group").agg(F.first("to").alias("to"), *(F.sum(F.when(F.col("from") == s, F.col("n")).otherwise(0)).alias(f"out{s}") for s in range(shards)))
         gone = [F.coalesce(F.col(f"out{s}"), F.lit(0)) for s in range(shards)]
