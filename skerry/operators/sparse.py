@@ -42,7 +42,8 @@ def bm25(docs: DataFrame, query: str, k: int = 10, k1: float = K1, b: float = B)
     if not words:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
     distinct = sorted(set(words))
-    own = docs.where("document is not null and document <> ''").select("id", tokens(F.col("document")).alias("t"))
+    # The generator keeps the optimizer from splitting texts again for every use of t.
+    own = docs.where("document is not null and document <> ''").select("id", F.explode(F.array(tokens(F.col("document")))).alias("t"))
     rows = own.select("id", F.size("t").cast("double").alias("dl"), *(_frequency(w).alias(f"tf{i}") for i, w in enumerate(distinct)))
     stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).cast("double").alias(f"df{i}") for i in range(len(distinct))))
     both = rows.crossJoin(F.broadcast(stats))  # one row of statistics
