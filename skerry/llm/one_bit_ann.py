@@ -175,7 +175,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Both tables have vec_id and v, as ``usable`` gives them; a query is not its own
     neighbour, whatever rows share its vec_id.  Rows that repeat a vec_id with the
-    same vector count once; of several vectors under one vec_id the nearest counts.
+    same vector count once; of several vectors under one vec_id the nearest counts,
+    and of several queries under one vec_id the first in order of components asks.
     Vectors of different lengths never compare.  Ties go to the smaller vec_id.
     Queries are answered in passes of ``PASS`` (the broadcast's bound); every pass
     reads all vectors.  Empty tables give an empty result.
@@ -190,7 +191,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         rotation = Rotation.fit(matrix(sample.column("v").combine_chunks()) if sample.num_rows else np.zeros((1, dim)))
         passes = -(-2 * n // PASS) if n > PASS else 1
         for i in range(passes):
-            block = queries.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i)).select("vec_id", "v").dropDuplicates(["vec_id"]).toArrow()
+            block = queries.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i)).select("vec_id", "v").groupBy("vec_id").agg(F.min("v").alias("v")).toArrow()
             if not block.num_rows:
                 continue
             shared = spark.sparkContext.broadcast((rotation, block.column("vec_id").to_numpy(), matrix(block.column("v").combine_chunks()), k))

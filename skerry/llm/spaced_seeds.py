@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,18 @@ MASKS = ("11010111", "1110010011", "111111", "1110001101", "100101000111", "1011
 WINDOW, PERCENT = 13, 75
 #: Words of all benchmark items that one pass over the documents looks for.
 PASS_WORDS = 1_000_000
+#: Bytes between words: ASCII characters that are neither letter nor digit.
+SEPARATORS = tuple(b for b in range(128) if not chr(b).isalnum())
 #: Bits of the filter in front of the seed table.
 FILTER_BITS = 22
 SCHEMA = "doc_id long, item_id long, n_equal long, doc_word long, item_word long"
 
 
+def _words(texts: pa.Array) -> tn.Words:
+    """Words of the texts, in lower case and without ASCII punctuation, so that shouted or decorated copies count."""
+    return tn.words(*tn.buffers(pc.utf8_lower(texts)), SEPARATORS, lower=False)
+
+
 def _seed(h: np.ndarray, mask: str, number: int) -> np.ndarray:
     """Seeds of all positions where the whole mask fits."""
     n = len(h) - len(mask) + 1
@@ -102,11 +110,11 @@ def _run(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            data, offsets = tn.buffers(batch.column(1))
-            ids = batch.column(0)
+            ids, text = batch.column(0), batch.column(1)
+            _, offsets = tn.buffers(text)
             out = []
             for lo, hi in tn.blocks(offsets):
-                w = tn.words(data, offsets[lo : hi + 1])
+                w = _words(text.slice(lo, hi - lo))
                 bounds = tn.row_starts(w.row, hi - lo)
                 best: dict[tuple[int, int], tuple] = {}
                 for r, item, diagonal in zip(*(x.tolist() for x in index.hits(w.hash, w.row)), strict=True):
@@ -125,8 +133,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     A pair is returned once per row of ``docs`` if on some seeded diagonal ``window``
     consecutive words of the item (all words of a shorter item) agree with the
     document's in ``percent`` per cent or more: n_equal of them, from doc_word and
-    item_word on (the first such window among equals).  Words are runs of anything
-    but space and ASCII controls 9 to 13, A-Z lowered.  Null, empty and blank texts
+    item_word on (the first such window among equals).  Words are runs of letters,
+    digits and characters beyond ASCII, in lower case.  Null, empty and blank texts
     and items match nothing; null ids are kept as null doc_id, items without an id
     are left out; rows that repeat an item give its pair once per document row.
     Other columns are not read.  The benchmark is searched for in passes of about
@@ -140,8 +148,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     out = None
     for i in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i).distinct().orderBy("item_id", "text").collect()
-        data, offsets = tn.buffers(pa.array([r.text for r in rows], pa.large_string()))
-        w = tn.words(data, offsets)
+        w = _words(pa.array([r.text for r in rows], pa.large_string()))
         bounds = tn.row_starts(w.row, len(rows))
         index = Index(np.array([r.item_id for r in rows], dtype=np.int64), [w.hash[bounds[j] : bounds[j + 1]] for j in range(len(rows))], window, percent)
         found = docs.mapInArrow(_run(spark.sparkContext.broadcast(index)), SCHEMA)

@@ -492,8 +492,9 @@ def test_seeds_cover_three_substitutions():
 
 def brute_overlaps(docs, items):
     out = set()
+    split = re.compile(r"[0-9a-z\x80-\U0010FFFF]+").findall
     for (i, t), (j, b) in itertools.product(docs, items):
-        x, y = WORDS.findall(lower(t or "")), WORDS.findall(lower(b or ""))
+        x, y = split((t or "").lower()), split((b or "").lower())
         width = min(spaced_seeds.WINDOW, len(y))
         if y and any(100 * sum(x[a + k] == y[c + k] for k in range(width)) >= spaced_seeds.PERCENT * width for a in range(len(x) - width + 1) for c in range(len(y) - width + 1)):
             out.add((i, j))
@@ -519,6 +520,16 @@ def test_contamination(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_overlaps(docs, items)
 
 
+def test_contamination_in_disguise(spark):
+    """Case (accented letters too) and ASCII punctuation do not hide a passage; the positions count words."""
+    passage = "L'été où les élèves ont déjà reçu ça à Genève, près du château fort"
+    docs = [(1, "before it: " + "!! ".join(passage.upper().split()) + "!!"), (2, passage.replace(" ", " - ")), (3, passage.replace("é", "e").replace("è", "e")), (4, "(" + passage.upper().replace(" ", "...") + ")")]
+    items = [(7, passage)]
+    got = spaced_seeds.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute_overlaps(docs, items) == {(1, 7), (2, 7), (4, 7)}
+    assert {(r.doc_id, r.n_equal, r.doc_word, r.item_word) for r in got} == {(1, 13, 2, 0), (2, 13, 0, 0), (4, 13, 0, 0)}
+
+
 def test_contamination_edges(spark):
     items = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (3, ""), (None, "a b c d e f g"), (1, "a b c d e f g"), (5, "single")], "item_id long, text string").withColumn("doc_id", F.lit(0))
     got = spaced_seeds.contaminated_pairs(edges(spark), items)
