@@ -155,6 +155,36 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     return touched.mapInArrow(_without(docs.columns.index("text")), schema)
 
 
+OP4_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+w AS (
+  SELECT doc_id, i, [CASE WHEN regexp_matches(x, '[0-9]') THEN '' ELSE x END FOR x IN regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')] AS k FROM l),
+o AS (SELECT doc_id, i, k, len(k) AS n, k[1:3] AS head FROM w WHERE len(k) > 0),
+once AS (SELECT DISTINCT k, n, head FROM o),
+leaf AS (SELECT n, head, count(*) AS n_lines FROM once GROUP BY ALL HAVING count(*) > 1),
+x AS (SELECT k, n, head, n_lines, unnest(range(1, n + 1)) AS place, unnest(k) AS word FROM once JOIN leaf USING (n, head)),
+c AS (
+  SELECT n, head, place, word, true AS constant FROM x
+  GROUP BY n, head, place, word HAVING count(*) >= greatest(2, ceil(any_value(n_lines) * 10 / 100.0))),
+t AS (
+  SELECT k, n, list({'place': place, 'word': word} ORDER BY place) FILTER (constant) AS kept
+  FROM x LEFT JOIN c USING (n, head, place, word) GROUP BY k, n),
+g AS (SELECT k, kept FROM t WHERE 100 * len(kept) >= 60 * n AND len(kept) < n),
+named AS (
+  SELECT doc_id, i, n, head, kept, CASE WHEN kept IS NULL THEN k END AS whole FROM o LEFT JOIN g USING (k)),
+r AS (
+  SELECT doc_id, i, min(doc_id) OVER t AS first, count(DISTINCT doc_id) OVER t AS n_docs
+  FROM named WINDOW t AS (PARTITION BY n, head, kept, whole)),
+gone AS (SELECT doc_id, i FROM r WHERE n_docs >= 3 AND doc_id <> first),
+cut AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS text, count(gone.i) AS n_dropped
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(cut.text, '') END AS text, coalesce(n_dropped, 0) AS n_dropped
+FROM documents d LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""
+
+
 def op4_line_templates(spark, sf_dir: str) -> DataFrame:
     """Every document without the lines of recurring templates."""
     return drop_recurring_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

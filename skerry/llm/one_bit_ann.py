@@ -204,6 +204,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+OP3_SQL = """
+WITH u AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+d AS (
+  SELECT q.vec_id AS query_id, u.vec_id,
+    min(sqrt(list_reduce(list_transform(list_zip(q.v, u.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b))) AS score
+  FROM u q JOIN u ON q.vec_id % 100 = 0 AND u.vec_id <> q.vec_id AND len(u.v) = len(q.v) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op3_one_bit_ann(spark, sf_dir: str) -> DataFrame:
     """Ten nearest of all embeddings for every hundredth."""
     vectors = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

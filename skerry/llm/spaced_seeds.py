@@ -162,6 +162,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
+OP9_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS t FROM documents WHERE text IS NOT NULL),
+b AS (
+  SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS t
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+x AS (SELECT doc_id, len(t) AS m, unnest(t) AS w, unnest(range(len(t))) AS p FROM d),
+y AS (SELECT item_id, len(t) AS n, least(13, len(t)) AS width, unnest(t) AS w, unnest(range(len(t))) AS j FROM b),
+e AS (
+  SELECT doc_id, m, item_id, n, width, p - j AS diagonal, list(j) AS js
+  FROM x JOIN y USING (w) GROUP BY ALL HAVING 100 * count(*) >= 75 * width),
+s AS (SELECT *, unnest(range(greatest(0, -diagonal), least(n, m - diagonal) - width + 1)) AS a FROM e),
+c AS (SELECT doc_id, item_id, width, len([j FOR j IN js IF j >= a AND j < a + width]) AS n_equal, a + diagonal AS doc_word, a AS item_word FROM s)
+SELECT doc_id, item_id, n_equal, doc_word, item_word FROM c WHERE 100 * n_equal >= 75 * width
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, doc_word, item_word) = 1
+"""
+
+
 def op9_spaced_seeds(spark, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) overlap that tolerates substitutions."""
     return contaminated_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
