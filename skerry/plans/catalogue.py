@@ -14,6 +14,7 @@ from skerry.functions.filters import columns_of, compile_filter, json_of
 from skerry.functions.text import STOP_WORDS, tokens
 from skerry.operators import catalog, cluster, fusion, graph_index, knn, monitor, oplog, sparse
 from skerry.operators import quantize as Q
+from skerry.sources import tables
 from skerry.streaming import fold as stream
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -621,3 +622,39 @@ def membership_health(s, d):
     return b.groupBy("node").agg((F.lit(now) - F.max("t")).alias("elapsed")).select("node", P.health(F.col("elapsed"), 5000, 15000).alias("state"))
 
 
+
+
+# --- formats and limits ---
+
+
+@query("blob_roundtrip", "SELECT vec_id AS id, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings")
+def blob_roundtrip(s, d):
+    v = s.read.parquet(f"{d}/embeddings.parquet")
+    back = v.select(F.col("vec_id").alias("id"), tables.decode_blob(tables.encode_blob(F.col("embedding"))).alias("v"))
+    return back.select("id", F.posexplode("v").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"))
+
+
+@query("fragment_keys", "SELECT event_id AS seq, printf('Bucket=%d/Seq=%016x.bin', (event_id // 4096) * 4096, event_id) AS key FROM events")
+def fragment_keys(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"))
+    return e.select("seq", tables.fragment_key(F.col("seq")).alias("key"))
+
+
+@query("metadata_limits", "SELECT doc_id AS id, 'value too long' AS error FROM documents WHERE strlen(text) > 1024")
+def metadata_limits(s, d):
+    m = F.create_map(F.lit("lang"), F.col("lang"), F.lit("text"), F.col("text"))
+    return catalog.metadata_errors(documents(s, d).select(F.col("doc_id").alias("id"), m.alias("metadata")))
+
+
+@query("api_keys", "SELECT event_id AS id FROM events WHERE event_type = 'view' OR ts > (SELECT min(ts) + INTERVAL 1 DAY FROM events)")
+def api_keys(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    now = e.agg((F.min("ts") + F.expr("interval 1 day")).alias("now")).first()[0]
+    keys = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") != "view", F.col("ts")).alias("expires_at"))
+    return catalog.valid_keys(keys, F.lit(now)).select("id")
+
+
+@query("migration_batches", "SELECT event_type AS node, count(*) AS n, ceil(count(*) / 1000.0)::BIGINT AS batches FROM events GROUP BY event_type")
+def migration_batches(s, d):
+    n = s.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("node")).agg(F.count("*").alias("n"))
+    return n.withColumn("batches", P.migration_batches(F.col("n")))
