@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +32,44 @@ def phi_accrual(beats: DataFrame, now) -> DataFrame:
 
 
 def dedupe_ttl(events: DataFrame, keys: list[str], t: str = "t", ttl: float = 30.0) -> DataFrame:
-    """Events of a key that come at least ``ttl`` seconds after the one before them (each sighting renews the wait)."""
-    order = Window.partitionBy(*keys).orderBy(t)
-    before = F.lag(t).over(order)
-    return events.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(t) - F.col("_before") >= ttl)).drop("_before")
+    """Events of a key that come more than ``ttl`` seconds after the last one let through (what is held back renews nothing).
+
+    Of events at one time the first in order of the other columns counts; events
+    without a time are left out.  The rows of a key are read in order of time and
+    streamed, so that a key may have any number of them.
+    """
+    rest = [f.name for f in events.schema.fields if f.name not in (*keys, t) and not f.dataType.simpleString().startswith(("map", "variant"))]
+    at, on = events.columns.index(t), [events.columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0.0
+        for batch in batches:
+            times = batch.column(at).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            n = len(times)
+            new = np.zeros(n, dtype=bool)  # another key than in the row before
+            if n:
+                new[0] = tuple(batch.column(i)[0].as_py() for i in on) != key
+            for i in on:
+                c = batch.column(i)
+                codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(new)
+            keep = []
+            for lo, hi in zip([0, *starts], [*starts, n], strict=True):
+                if lo == hi:
+                    continue
+                x = times[lo:hi]
+                i = 0 if new[lo] else int(np.searchsorted(x, last + ttl, side="right"))
+                while i < len(x):
+                    keep.append(lo + i)
+                    last = x[i]
+                    i = int(np.searchsorted(x, last + ttl, side="right"))
+            if n:
+                key = tuple(batch.column(i)[n - 1].as_py() for i in on)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    ordered = events.where(F.col(t).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, t, *rest)
+    return ordered.mapInArrow(run, events.schema)
 
 
 def retry_delays(attempts: int = 3, base_ms: int = 100) -> list[int]:

@@ -610,7 +610,7 @@ def phi_accrual(s, d):
     return out.select("node", "n", F.round("mean", 3).alias("mean"), F.round("elapsed", 3).alias("elapsed"), F.round("phi", 6).alias("phi"), "state")
 
 
-@query("dedupe_ttl", f"WITH {S_BEATS} SELECT node, t FROM (SELECT node, t, lag(t) OVER (PARTITION BY node ORDER BY t) AS p FROM b) WHERE p IS NULL OR t - p >= 3000")
+@query("dedupe_ttl", f"WITH RECURSIVE {S_BEATS}, k AS (SELECT node, min(t) AS t FROM b GROUP BY node UNION ALL SELECT b.node, min(b.t) AS t FROM k JOIN b ON b.node = k.node AND b.t > k.t + 3000.0::DOUBLE GROUP BY b.node) SELECT node, t FROM k")
 def dedupe_ttl(s, d):
     return monitor.dedupe_ttl(_beats(s, d), ["node"], ttl=3000.0)
 

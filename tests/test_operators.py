@@ -213,3 +213,17 @@ def test_engine_indexes(spark, tmp_path, index):
     c.insert(rows(spark, x))
     c.build_index(str(tmp_path / "index"))
     assert c.search(x[3].tolist(), 3, nprobe=4).first().id == 3
+
+
+def test_dedupe_ttl(spark):
+    """What is held back does not renew the wait; the bound itself is still held back; hot and null keys; small batches."""
+    rows = [("a", 0.0, 1), ("a", 20.0, 2), ("a", 30.0, 3), ("a", 40.0, 4), ("a", 40.0, 5), ("a", None, 6), (None, 5.0, 7), (None, 6.0, 8), ("b", 100.0, 9)]
+    rows += [("hot", float(i), i) for i in range(1000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        df = spark.createDataFrame(rows, "k string, t double, n long")
+        got = sorted((str(r.k), r.t, r.n) for r in monitor.dedupe_ttl(df, ["k"]).collect())
+        assert monitor.dedupe_ttl(df.limit(0), ["k"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted([("a", 0.0, 1), ("a", 40.0, 4), ("None", 5.0, 7), ("b", 100.0, 9), *(("hot", float(i), i) for i in range(0, 1000, 31))])
