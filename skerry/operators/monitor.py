@@ -11,19 +11,24 @@ from pyspark.sql import functions as F
 
 #: Samples kept, samples from which the suspicion level is used, levels of suspect and dead, seconds before that.
 SAMPLES, LEAST, SUSPECT, DEAD, SUSPECT_S, DEAD_S = 100, 10, 3.0, 8.0, 5.0, 15.0
+#: Seconds from which a gap is a pause (sleep, first sign) and no sample.
+PAUSE_S = 300.0
 
 
-def phi_accrual(beats: DataFrame, now) -> DataFrame:
+def phi_accrual(beats: DataFrame, now, pause: float = PAUSE_S) -> DataFrame:
     """(node, n, mean, elapsed, phi, state) of ``beats(node, t)``, t in seconds, at time ``now``.
 
-    phi = elapsed / mean gap / ln 10 over the last 100 gaps; with fewer than 10 gaps
-    the state depends on the elapsed seconds alone and phi is null.
+    phi = elapsed / mean gap / ln 10 over the last 100 gaps above 0 and below
+    ``pause``; with fewer than 10 of them the state depends on the elapsed seconds
+    alone and phi is null.
     """
     order = Window.partitionBy("node").orderBy("t")
-    gaps = beats.select("node", "t", (F.col("t") - F.lag("t").over(order)).alias("gap"))
-    recent = gaps.withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("t")))).where(F.col("_n") <= SAMPLES)
-    each = recent.groupBy("node").agg(F.count("gap").alias("n"), F.avg("gap").alias("mean"), (F.lit(now) - F.max("t")).alias("elapsed"))
-    phi = F.when((F.col("n") >= LEAST) & (F.col("mean") > 0), F.col("elapsed") / F.col("mean") / F.log(F.lit(10.0)))
+    gap = F.col("t") - F.lag("t").over(order)
+    gaps = beats.select("node", "t", F.when((gap > 0) & (gap < pause), gap).alias("gap"))
+    latest = Window.partitionBy("node").orderBy(F.col("gap").isNull(), F.desc("t"))
+    sample = F.when(F.col("_n") <= SAMPLES, F.col("gap"))
+    each = gaps.withColumn("_n", F.row_number().over(latest)).groupBy("node").agg(F.count(sample).alias("n"), F.avg(sample).alias("mean"), (F.lit(now) - F.max("t")).alias("elapsed"))
+    phi = F.when(F.col("n") >= LEAST, F.col("elapsed") / F.col("mean") / F.log(F.lit(10.0)))
     state = (
         F.when(phi.isNull(), F.when(F.col("elapsed") >= DEAD_S, "dead").when(F.col("elapsed") >= SUSPECT_S, "suspect").otherwise("alive"))
         .when(phi >= DEAD, "dead").when(phi >= SUSPECT, "suspect").otherwise("alive")

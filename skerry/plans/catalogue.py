@@ -602,11 +602,11 @@ def _beats(s, d) -> DataFrame:
 
 @query(
     "phi_accrual",
-    f"WITH {S_BEATS}, g AS (SELECT node, t, t - lag(t) OVER (PARTITION BY node ORDER BY t) AS gap FROM b), r AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY node ORDER BY t DESC) <= 100), a AS (SELECT node, count(gap) AS n, avg(gap) AS mean, (SELECT now FROM nw) - max(t) AS elapsed FROM r GROUP BY node), p AS (SELECT *, CASE WHEN n >= 10 AND mean > 0 THEN elapsed / mean / ln(10.0::DOUBLE) END AS phi FROM a) SELECT node, n, round(mean, 3) AS mean, round(elapsed, 3) AS elapsed, round(phi, 6) AS phi, CASE WHEN phi IS NULL THEN CASE WHEN elapsed >= 15 THEN 'dead' WHEN elapsed >= 5 THEN 'suspect' ELSE 'alive' END WHEN phi >= 8 THEN 'dead' WHEN phi >= 3 THEN 'suspect' ELSE 'alive' END AS state FROM p",
+    f"WITH {S_BEATS}, g AS (SELECT node, t, t - lag(t) OVER (PARTITION BY node ORDER BY t) AS gap FROM b), r AS (SELECT * FROM g WHERE gap > 0 AND gap < 100000 QUALIFY row_number() OVER (PARTITION BY node ORDER BY t DESC) <= 100), m AS (SELECT node, count(*) AS n, avg(gap) AS mean FROM r GROUP BY node), l AS (SELECT node, (SELECT now FROM nw) - max(t) AS elapsed FROM b GROUP BY node), a AS (SELECT node, coalesce(n, 0) AS n, mean, elapsed FROM l LEFT JOIN m USING (node)), p AS (SELECT *, CASE WHEN n >= 10 THEN elapsed / mean / ln(10.0::DOUBLE) END AS phi FROM a) SELECT node, n, round(mean, 3) AS mean, round(elapsed, 3) AS elapsed, round(phi, 6) AS phi, CASE WHEN phi IS NULL THEN CASE WHEN elapsed >= 15 THEN 'dead' WHEN elapsed >= 5 THEN 'suspect' ELSE 'alive' END WHEN phi >= 8 THEN 'dead' WHEN phi >= 3 THEN 'suspect' ELSE 'alive' END AS state FROM p",
 )
 def phi_accrual(s, d):
     b = _beats(s, d)
-    out = monitor.phi_accrual(b, b.agg(F.max("t")).first()[0])
+    out = monitor.phi_accrual(b, b.agg(F.max("t")).first()[0], pause=100000.0)
     return out.select("node", "n", F.round("mean", 3).alias("mean"), F.round("elapsed", 3).alias("elapsed"), F.round("phi", 6).alias("phi"), "state")
 
 

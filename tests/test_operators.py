@@ -215,6 +215,15 @@ def test_engine_indexes(spark, tmp_path, index):
     assert c.search(x[3].tolist(), 3, nprobe=4).first().id == 3
 
 
+def test_phi_leaves_pauses_out(spark):
+    rows = [("a", float(i)) for i in range(12)] + [("a", 1000.0 + i) for i in range(3)] + [("a", 1002.0)]
+    got = monitor.phi_accrual(spark.createDataFrame(rows, "node string, t double"), 1007.0).first()
+    assert (got.n, got.mean, got.elapsed) == (13, 1.0, 5.0)
+    many = [("b", float(i) ** 1.5) for i in range(200)]
+    got = monitor.phi_accrual(spark.createDataFrame(many, "node string, t double"), 199.0**1.5).first()
+    assert got.n == 100 and math.isclose(got.mean, (199.0**1.5 - 99.0**1.5) / 100)
+
+
 def test_dedupe_ttl(spark):
     """What is held back does not renew the wait; the bound itself is still held back; hot and null keys; small batches."""
     rows = [("a", 0.0, 1), ("a", 20.0, 2), ("a", 30.0, 3), ("a", 40.0, 4), ("a", 40.0, 5), ("a", None, 6), (None, 5.0, 7), (None, 6.0, 8), ("b", 100.0, 9)]
