@@ -3,8 +3,11 @@
 A line goes down the tree by its number of words, then by its first words, with
 words that hold a digit as wildcards.  In a leaf, a word that few of the leaf's
 distinct lines have at its place becomes a wildcard, and what is left is the
-line's template.  Templates found in several documents are recurring; their
-lines are dropped, but for those of the first document (by doc_id).
+line's template.  Lines of which too little is left part from the leaf by the
+most frequent words that they do not all share, and the rule is applied again
+to each part, so a leaf may hold any number of templates.  Templates found in
+several documents are recurring; their lines are dropped, but for those of the
+first document (by doc_id).
 
 The leaf step is order-free (counts per leaf, place and word), so no leaf is
 gathered in a task and a rerun gives the same templates.
@@ -19,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from skerry.llm import textnum as tn
 from skerry.llm.workspace import Workspace
@@ -109,7 +113,56 @@ def _without(text_at: int):
     return run
 
 
-def recurring_lines(ws: Workspace, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def _split(counted: DataFrame, left: DataFrame) -> DataFrame:
+    """Words of the lines of ``left`` by the part of their leaf that each belongs to.
+
+    A line goes with its most frequent pair of neighbours among the words that are
+    not constant (a field's value stands beside one template's words as seldom as
+    beside another's, however frequent it is), or else with its most frequent word.
+    Each such word has less than SHARE of the leaf, so parts shrink tenfold a round.
+    """
+    line = ["leaf", "key"]
+    own = counted.join(left, line, "left_semi")
+    loose = own.where(f"n >= {SUPPORT} and not constant")
+    pairs = loose.withColumn("next", F.lead(F.struct("place", "word", "n")).over(Window.partitionBy(*line).orderBy("place"))).where("next is not null")
+    pair = ["leaf", "place", "word", "next"]
+    firm = pairs.groupBy(*pair).agg(F.count("*").alias("n_pair"), F.first("n").alias("n")).where(f"n_pair >= {SUPPORT} and 2 * n_pair >= least(n, next.n)").drop("n")
+    by_pair = pairs.join(firm, pair).groupBy(*line).agg(F.max(F.struct("n_pair", "place", "word", "next")).alias("pair"))
+    by_word = loose.groupBy(*line).agg(F.max(F.struct("n", "place", "word")).alias("one"))
+    part = F.when(F.expr(f"100 * pair.n_pair >= {SHARE} * one.n"), F.xxhash64("leaf", "pair.place", "pair.word", "pair.next.place", "pair.next.word")).otherwise(F.xxhash64("leaf", "one.place", "one.word"))
+    parts = by_word.join(by_pair, line, "left").select(*line, part.alias("part"))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n_lines")).where("n_lines > 1")
+    return own.select(*line, "place", "word").join(parts, line).join(sizes, "part").select(F.col("part").alias("leaf"), "key", "n_lines", "place", "word")
+
+
+def _templates(ws: Workspace, words: DataFrame, split: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, general) of the lines that share a template, and the tables it reads; ``split`` takes leaves apart until every line is settled."""
+    out, used = None, []
+    while True:
+        counts = words.groupBy("leaf", "place", "word").agg(F.count("*").alias("n"), F.first("n_lines").alias("n_lines")).where(f"n >= {SUPPORT}")
+        counts = counts.select("leaf", "place", "word", "n", F.expr(f"n >= cast(ceil(n_lines * {SHARE} / 100.0) as bigint)").alias("constant"))
+        if split:
+            counts = ws.write(counts)
+            used.append(counts)
+        marked = words.join(counts.where("constant"), ["leaf", "place", "word"], "left")
+        # A template is the set of its constant (place, word): an order-free sum of their hashes.
+        kept = F.when(F.col("constant"), F.shiftright(F.xxhash64("place", "word"), 8))
+        lines = marked.groupBy("leaf", "key").agg(F.count("*").alias("n"), F.count("constant").alias("n_kept"), F.sum(kept.cast("decimal(38,0)")).alias("sum"))
+        lines = lines.where("n_kept < n").select("leaf", "key", F.xxhash64("leaf", F.col("sum").cast("string")).alias("general"), F.expr(f"100 * n_kept >= {KEEP} * n").alias("settled"))
+        if split:
+            lines = ws.write(lines)
+            used.append(lines)
+        found = lines.where("settled").select("key", "general")
+        out = found if out is None else out.unionAll(found)
+        if not split:
+            return out, used
+        words = ws.write(_split(words.join(counts, ["leaf", "place", "word"], "left"), lines.where("not settled")))
+        used.append(words)
+        if words.isEmpty():
+            return out, used
+
+
+def recurring_lines(ws: Workspace, docs: DataFrame, min_docs: int = MIN_DOCS, split: bool = True) -> DataFrame:
     """(doc_id, line, template) of every line to drop."""
     lines = ws.write(docs.where("doc_id is not null").mapInArrow(_scan, "doc_id long, line long, leaf long, key long"))
     once = lines.groupBy("leaf", "key").agg(F.min(F.struct("doc_id", "line")).alias("at"))
@@ -121,23 +174,17 @@ def recurring_lines(ws: Workspace, docs: DataFrame, min_docs: int = MIN_DOCS) ->
     found = docs.join(wanted.hint("merge"), "doc_id").select("text", "lines").mapInArrow(_words_of, "leaf long, key long, words array<long>")
     found = found.dropDuplicates(["leaf", "key"])
     words = ws.write(found.join(open_.select("leaf", "key", "n_lines"), ["leaf", "key"]).select("leaf", "key", "n_lines", F.posexplode("words").alias("place", "word")))
-    counts = words.groupBy("leaf", "place", "word").agg(F.count("*").alias("n"), F.first("n_lines").alias("n_lines"))
-    constant = counts.where(f"n >= greatest({SUPPORT}L, cast(ceil(n_lines * {SHARE} / 100.0) as bigint))").select("leaf", "place", "word", F.lit(True).alias("constant"))
-    marked = words.join(constant, ["leaf", "place", "word"], "left")
-    # A template is the set of its constant (place, word): an order-free sum of their hashes.
-    kept = F.when(F.col("constant"), F.shiftright(F.xxhash64("place", "word"), 8))
-    templates = marked.groupBy("leaf", "key").agg(F.count("*").alias("n"), F.count("constant").alias("n_kept"), F.sum(kept.cast("decimal(38,0)")).alias("sum"))
-    templates = templates.where(f"100 * n_kept >= {KEEP} * n and n_kept < n").select("leaf", "key", F.xxhash64("leaf", F.col("sum").cast("string")).alias("general"))
+    templates, used = _templates(ws, words, split)
     template = F.coalesce("general", "key").alias("template")
-    named = ws.write(lines.join(templates, ["leaf", "key"], "left").select("doc_id", "line", template))
+    named = ws.write(lines.join(templates, "key", "left").select("doc_id", "line", template))
     recurs = named.select("doc_id", "template").distinct().groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")).where(F.col("n_docs") >= min_docs)
     out = named.join(recurs, "template").where("doc_id <> first").select("doc_id", "line", "template")
     out = ws.write(out)
-    ws.drop(lines, once, open_, words, named)
+    ws.drop(lines, once, open_, words, named, *used)
     return out
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, split: bool = True) -> DataFrame:
     """``docs`` with its recurring lines cut from text, and ``n_dropped``; one row per row of ``docs``.
 
     Lines end at a line feed; words are parted by space and ASCII controls 9 to 13.
@@ -149,7 +196,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     """
     ws = Workspace(docs.sparkSession)
     docs = docs.drop("n_dropped").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    gone = recurring_lines(ws, docs.select("doc_id", "text"), min_docs).groupBy("doc_id").agg(F.collect_set("line").alias("n_dropped"))
+    gone = recurring_lines(ws, docs.select("doc_id", "text"), min_docs, split).groupBy("doc_id").agg(F.collect_set("line").alias("n_dropped"))
     touched = docs.join(gone.hint("merge"), "doc_id", "left").select(*docs.columns, "n_dropped")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_dropped", T.LongType())])
     return touched.mapInArrow(_without(docs.columns.index("text")), schema)

@@ -294,6 +294,23 @@ def test_lines_exact_repeats(spark):
     assert {r.doc_id: r.text for r in got.collect()} == want
 
 
+def spelt(stem, i):
+    """A word without digits for every number."""
+    return stem + "".join("abcdefghij"[int(c)] for c in str(i))
+
+
+@pytest.mark.parametrize("n_templates,n_names", [(20, 10), (60, 5)])
+def test_lines_of_many_templates_in_a_leaf(spark, n_templates, n_names):
+    """Every line beyond its template's first goes, also where a name is in more lines than a template."""
+    lines = [(t, f"1{t} 2:{n} 3 " + " ".join(spelt(w, t) for w in ("takes", "gives", "holds", "ends")) + " " + spelt("name", n)) for n in range(n_names) for t in range(n_templates)]
+    docs = [(i, x) for i, (_, x) in enumerate(lines)]
+    first = {}
+    for i, (t, _) in enumerate(lines):
+        first.setdefault(t, i)
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(docs, DOCS)).collect()
+    assert {r.doc_id for r in got if r.n_dropped == 0} == set(first.values())
+
+
 # --- 5 ---
 
 
