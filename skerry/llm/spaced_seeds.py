@@ -28,9 +28,18 @@ PASS_WORDS = 1_000_000
 SEPARATORS = tuple(b for b in range(128) if not chr(b).isalnum())
 #: Bits of the filter in front of the seed table.
 FILTER_BITS = 22
+#: Hits listed at a time.
+HITS = 1 << 20
 SCHEMA = "doc_id long, item_id long, n_equal long, doc_word long, item_word long"
 
 
+def _parts(n: int, percent: int) -> list[tuple[str, int]]:
+    """(mask, offset) of seeds for items of n words: with e substitutions allowed, one of e + 1 disjoint parts stays whole."""
+    parts = min(n, n - -(-percent * n // 100) + 1)
+    cuts = [n * i // parts for i in range(parts + 1)]
+    return [("1" * (b - a), a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def _words(texts: pa.Array) -> tn.Words:
     """Words of the texts, in lower case and without ASCII punctuation, so that shouted or decorated copies count."""
     return tn.words(*tn.buffers(pc.utf8_lower(texts)), SEPARATORS, lower=False)
@@ -54,17 +63,22 @@ class Index:
 
     def __init__(self, ids: np.ndarray, hashes: list[np.ndarray], window: int = WINDOW, percent: int = PERCENT):
         self.ids, self.hashes, self.window, self.percent = ids, hashes, window, percent
-        lengths = sorted({len(h) for h in hashes if 0 < len(h) < max(map(len, MASKS))})
-        #: Items too short for the widest mask also get one seed: all their words.
-        self.masks = [*MASKS, *("1" * n for n in lengths)]
+        self.size = np.array([len(h) for h in hashes], dtype=np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.words = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        # The masks are complete for whole windows only; a shorter item has parts of its own.
+        short = {n: _parts(n, percent) for n in sorted({len(h) for h in hashes if 0 < len(h) < WINDOW})}
+        self.masks = [*MASKS, *sorted({mask for parts in short.values() for mask, _ in parts} - set(MASKS))]
+        number = {mask: m for m, mask in enumerate(self.masks)}
+        every = [(mask, None) for mask in MASKS]
         seed, item, at = [], [], []
         for i, h in enumerate(hashes):
-            for m, mask in enumerate(self.masks):
-                if m < len(MASKS) or len(mask) == len(h):
-                    s = _seed(h, mask, m)
-                    seed.append(s)
-                    item.append(np.full(len(s), i))
-                    at.append(np.arange(len(s)))
+            for mask, offset in [*short.get(len(h), []), *(every if len(h) >= WINDOW or len(h) > window else [])]:
+                s = _seed(h, mask, number[mask])
+                s, places = (s, np.arange(len(s))) if offset is None else (s[offset : offset + 1], np.array([offset]))
+                seed.append(s)
+                item.append(np.full(len(s), i))
+                at.append(places)
         empty = [np.zeros(0, np.uint64)]
         self.seed = np.concatenate(seed or empty)
         order = np.argsort(self.seed, kind="stable")
@@ -84,13 +98,31 @@ class Index:
             a = np.searchsorted(self.seed, s[p], side="left")
             b = np.searchsorted(self.seed, s[p], side="right")
             n = b - a
-            entry = tn.ragged(a, n)
-            found.append(np.stack([np.repeat(row[p], n), self.item[entry], np.repeat(p, n) - self.at[entry]]))
+            # Short seeds may be frequent: about HITS at a time are listed, and short items compared at once.
+            for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(np.cumsum(n) // HITS)) + 1):
+                entry = tn.ragged(a[part], n[part])
+                at = np.repeat(p[part], n[part])
+                found.append(self._agreeing(h, row, np.stack([row[at], self.item[entry], at - self.at[entry]])))
         if not sum(f.shape[1] for f in found):
             z = np.zeros(0, np.int64)
             return z, z, z
         return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
 
+    def _agreeing(self, h: np.ndarray, row: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """The hits but for those of items no longer than the window that do not reach the percentage."""
+        size = self.size[hits[1]]
+        keep = size > min(self.window, WINDOW - 1)
+        for n in np.unique(size[~keep]):
+            own = np.flatnonzero(size == n)
+            r, item, start = hits[:, own]
+            inside = (start >= 0) & (start + n <= len(h))
+            own, r, item, start = own[inside], r[inside], item[inside], start[inside]
+            inside = (row[start] == r) & (row[start + n - 1] == r)
+            own, item, start = own[inside], item[inside], start[inside]
+            equal = sum((h[start + j] == self.words[self.first[item] + j]).astype(np.int64) for j in range(n))
+            keep[own] = 100 * equal >= self.percent * n
+        return hits[:, keep]
+
     def verify(self, h: np.ndarray, lo: int, hi: int, item: int, diagonal: int) -> tuple[int, int, int] | None:
         """(equal words, word position, item position) of the best window on a diagonal of the row lo:hi, if it reaches the percentage."""
         own = self.hashes[item]

@@ -537,6 +537,23 @@ def test_contamination(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_overlaps(docs, items)
 
 
+def test_short_items_substituted(spark):
+    """Items of 1 to 13 words, with every set of substitutions that 75 per cent allow and some more, against the brute force."""
+    items, docs = [], []
+    for n in range(1, 14):
+        own = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(own)))
+        allowed = n - -(-spaced_seeds.PERCENT * n // 100)
+        sets = [g for e in range(allowed + 1) for g in itertools.combinations(range(n), e)] + [tuple(range(allowed + 1))]
+        docs += [(len(docs) + i, " ".join(["before", *("changed" if k in gone else w for k, w in enumerate(own)), "after"])) for i, gone in enumerate(sets)]
+    items += [(20, "the the the the"), (21, "the cat the dog the")]
+    docs += [(len(docs), "the the cat the the"), (len(docs) + 1, "cat the dog the"), (len(docs) + 2, "the the the")]
+    want = brute_overlaps(docs, items)
+    assert len(want) > len(docs) - 20
+    got = spaced_seeds.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_contamination_in_disguise(spark):
     """Case (accented letters too) and ASCII punctuation do not hide a passage; the positions count words."""
     passage = "L'été où les élèves ont déjà reçu ça à Genève, près du château fort"
