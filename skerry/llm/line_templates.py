@@ -33,8 +33,9 @@ DEPTH = 3
 SHARE, SUPPORT = 10, 2
 #: Percentage of a line's words that its template must keep; otherwise the line is its own template.
 KEEP = 60
-#: Documents in which a template must occur to be recurring.
-MIN_DOCS = 3
+#: Documents in which a template must occur to be recurring, and those that suffice for one of more than LONG words.
+MIN_DOCS, MIN_DOCS_LONG = 3, 2
+LONG = 50
 _NEWLINE = (10,)
 _DIGITS = np.isin(np.arange(256), np.arange(48, 58))
 _WILD = np.uint64(0x9AE16A3B2F90404F)
@@ -75,7 +76,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = tn.buffers(batch.column(1))
         for lo, hi in tn.blocks(offsets):
             x = Lines(data, offsets[lo : hi + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(x.row)), pa.array(x.number), pa.array(x.leaf.view(np.int64)), pa.array(x.key.view(np.int64))], ["doc_id", "line", "leaf", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(x.row)), pa.array(x.number), pa.array(x.leaf.view(np.int64)), pa.array(x.key.view(np.int64)), pa.array(x.size > LONG)], ["doc_id", "line", "leaf", "key", "long"])
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +163,9 @@ def _templates(ws: Workspace, words: DataFrame, split: bool) -> tuple[DataFrame,
             return out, used
 
 
-def recurring_lines(ws: Workspace, docs: DataFrame, min_docs: int = MIN_DOCS, split: bool = True) -> DataFrame:
+def recurring_lines(ws: Workspace, docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_long: int = MIN_DOCS_LONG, split: bool = True) -> DataFrame:
     """(doc_id, line, template) of every line to drop."""
-    lines = ws.write(docs.where("doc_id is not null").mapInArrow(_scan, "doc_id long, line long, leaf long, key long"))
+    lines = ws.write(docs.where("doc_id is not null").mapInArrow(_scan, "doc_id long, line long, leaf long, key long, long boolean"))
     once = lines.groupBy("leaf", "key").agg(F.min(F.struct("doc_id", "line")).alias("at"))
     once = ws.write(once.select("leaf", "key", "at.doc_id", "at.line"))
     several = once.groupBy("leaf").agg(F.count("*").alias("n_lines")).where("n_lines > 1")
@@ -176,17 +177,20 @@ def recurring_lines(ws: Workspace, docs: DataFrame, min_docs: int = MIN_DOCS, sp
     words = ws.write(found.join(open_.select("leaf", "key", "n_lines"), ["leaf", "key"]).select("leaf", "key", "n_lines", F.posexplode("words").alias("place", "word")))
     templates, used = _templates(ws, words, split)
     template = F.coalesce("general", "key").alias("template")
-    named = ws.write(lines.join(templates, "key", "left").select("doc_id", "line", template))
-    recurs = named.select("doc_id", "template").distinct().groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")).where(F.col("n_docs") >= min_docs)
+    named = ws.write(lines.join(templates, "key", "left").select("doc_id", "line", "long", template))
+    recurs = named.select("doc_id", "template", "long").distinct().groupBy("template", "long").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first"))
+    recurs = recurs.where(F.col("n_docs") >= F.when(F.col("long"), min_docs_long).otherwise(min_docs)).drop("long")
     out = named.join(recurs, "template").where("doc_id <> first").select("doc_id", "line", "template")
     out = ws.write(out)
     ws.drop(lines, once, open_, words, named, *used)
     return out
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, split: bool = True) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_long: int = MIN_DOCS_LONG, split: bool = True) -> DataFrame:
     """``docs`` with its recurring lines cut from text, and ``n_dropped``; one row per row of ``docs``.
 
+    A template recurs from ``min_docs`` documents on, or ``min_docs_long`` if it has
+    more than LONG words: only short lines repeat by chance.
     Lines end at a line feed; words are parted by space and ASCII controls 9 to 13.
     Blank lines are in no template and stay.  A document keeps its row even if no
     line is left (its text is then empty).  Null texts stay null; rows without
@@ -196,7 +200,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, split: bool
     """
     ws = Workspace(docs.sparkSession)
     docs = docs.drop("n_dropped").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    gone = recurring_lines(ws, docs.select("doc_id", "text"), min_docs, split).groupBy("doc_id").agg(F.collect_set("line").alias("n_dropped"))
+    gone = recurring_lines(ws, docs.select("doc_id", "text"), min_docs, min_docs_long, split).groupBy("doc_id").agg(F.collect_set("line").alias("n_dropped"))
     touched = docs.join(gone.hint("merge"), "doc_id", "left").select(*docs.columns, "n_dropped")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_dropped", T.LongType())])
     return touched.mapInArrow(_without(docs.columns.index("text")), schema)
@@ -233,5 +237,5 @@ FROM documents d LEFT JOIN cut ON cut.doc_id = d.doc_id
 
 
 def op4_line_templates(spark, sf_dir: str) -> DataFrame:
-    """Every document without the lines of recurring templates."""
-    return drop_recurring_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Every document without the lines of recurring templates; from three documents on whatever their length, as OP4_SQL has it."""
+    return drop_recurring_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), min_docs_long=MIN_DOCS)

@@ -311,6 +311,16 @@ def test_lines_of_many_templates_in_a_leaf(spark, n_templates, n_names):
     assert {r.doc_id for r in got if r.n_dropped == 0} == set(first.values())
 
 
+def test_long_passages_recur_in_two_documents(spark):
+    """A passage of 60 words in two otherwise different documents leaves the second; a short line stays in both."""
+    passage, short = " ".join(spelt("w", i) for i in range(60)), "a short line of words"
+    fifty, more = (" ".join(spelt(s, i) for i in range(n)) for s, n in (("x", 50), ("y", 51)))
+    docs = [(1, f"one alone\n{passage}\n{short}\n{fifty}\n{more}"), (2, f"{short}\n{passage}\n{fifty}\n{more}\nand two alone")]
+    df = spark.createDataFrame(docs, DOCS)
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(df).collect()}
+    assert got == {1: docs[0][1], 2: f"{short}\n{fifty}\nand two alone"}
+
+
 # --- 5 ---
 
 
