@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but for the first document's; every document stays."""
-    cut = line_templates.drop_recurring_lines(docs).drop("n_dropped")
+    """Lines of recurring templates go, but for the first document's; so do documents of which only blanks are left."""
+    cut = line_templates.drop_recurring_lines(docs).where(r"n_dropped = 0 or text rlike '[^\\x09-\\x0D\\x20]'").drop("n_dropped")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)

@@ -612,3 +612,20 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, one, f"file://{tmp_path}").columns == one.columns, name
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_pipeline_keeps_one_of_five_copies(spark, tmp_path):
+    """Copies that line dedup empties leave no row; a document that was blank before does, in that stage."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    vocabulary = ["the", "and", "house", "river", "green", "walk", "under", "stone", "light", "garden", "over", "winter"]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n)) + " end"
+    copy = prose(30) + "\n\n" + prose(70)
+    rows = [(i, prose(60)) for i in range(4)] + [(20 + i, copy) for i in range(5)] + [(40, " \n\t"), (41, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(f"bench{i}" for i in range(30)))], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
+    assert set(out) == {*range(4), 20} and piece_codec.decode([list(out[20].token_ids)]) == [copy]
+    assert {r.doc_id for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()} == {*range(4), 20, 40, 41}
