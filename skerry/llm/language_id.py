@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm import textnum as tn
-from skerry.llm.pieces import MARK, VOCABULARY, Lattice, Vocabulary, load
+from skerry.llm.pieces import LONG, MARK, VOCABULARY, Lattice, Vocabulary, load, take_apart, walk_sum
 
 #: Labelled documents per language that the fit reads at most, and its rounds.
 SAMPLE, ROUNDS = 300, 4
 #: Weight, in pieces, of the languages' common distribution in each language's own.
 PRIOR = 200.0
-#: Bytes of a word up to which sums stay in linear space; each byte is scaled by GAIN there.
+#: Bytes of a word beyond which it is taken apart (and is not fitted on); in sums each byte is scaled by GAIN.
 LINEAR, GAIN = 64, 6.0
 #: All bytes but ASCII letters and the bytes of other characters part words.
 NOT_LETTERS = tuple(b for b in range(128) if not chr(b).isalpha())
@@ -41,7 +41,7 @@ class Model:
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[tn.Words, np.ndarray, np.ndarray, np.ndarray]:
     """A block's words, and its distinct words as marked chunks: (words, inverse, bytes, offsets)."""
     w = tn.words(data, offsets, NOT_LETTERS, lower=False)
-    _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+    first, inverse = tn.distinct(data, w.start, w.end, w.hash)
     sizes = w.end[first] - w.start[first]
     bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
     buf = np.full(int(bounds[-1]), MARK, dtype=np.uint8)
@@ -50,24 +50,20 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[tn.Words, np.ndarray,
 
 
 def word_scores(v: Vocabulary, prob: np.ndarray, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(words, languages): log of the sum over all segmentations."""
-    sizes = np.diff(bounds)
+    """(words, languages): log of the sum over all segmentations.
+
+    The sum of a long word is the product over its parts between places that no
+    piece lies across; a part that is still long is walked along by itself.
+    """
+    parts, owner = take_apart(v.trie, buf, bounds, LINEAR)
+    sizes = np.diff(parts)
     out = np.empty((len(sizes), prob.shape[1]))
-    short = sizes <= LINEAR
+    short = sizes <= LONG
     if short.any():
-        own = np.concatenate([[0], np.cumsum(sizes[short])])
-        lattice = Lattice(v.trie, buf[tn.ragged(bounds[:-1][short], sizes[short])], own)
-        total = lattice.forward(prob, GAIN)[lattice.last]
-        out[short] = np.log(total) - (sizes[short] * np.log(GAIN))[:, None]
-    for i in np.flatnonzero(~short):  # a long word would leave the range of a double
-        lattice = Lattice(v.trie, buf[bounds[i] : bounds[i + 1]], np.array([0, sizes[i]]))
-        value = np.full((lattice.slots, prob.shape[1]), -np.inf)
-        value[0] = 0.0
-        s = np.log(prob)[lattice.piece]
-        for run, lo, hi in lattice.steps:
-            value[lattice.dst[run]] = np.logaddexp.reduceat(value[lattice.src[lo:hi]] + s[lo:hi], run - lo, axis=0)
-        out[i] = value[lattice.last[0]]
-    return out
+        out[short] = Lattice(v.trie, buf[tn.ragged(parts[:-1][short], sizes[short])], np.concatenate([[0], np.cumsum(sizes[short])])).forward_log(prob, GAIN)
+    for i in np.flatnonzero(~short):
+        out[i] = walk_sum(v.trie, prob, buf[parts[i] : parts[i + 1]])
+    return out if len(parts) == len(bounds) else np.add.reduceat(out, np.searchsorted(owner, np.arange(len(bounds) - 1)), axis=0)
 
 
 def fit(v: Vocabulary, texts: dict[str, list[str]], rounds: int = ROUNDS) -> Model:
@@ -100,15 +96,17 @@ def fit(v: Vocabulary, texts: dict[str, list[str]], rounds: int = ROUNDS) -> Mod
 
 def predict_block(v: Vocabulary, model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(best language's index, its posterior) of each lower-cased text."""
-    w, inverse, buf, bounds = _words(data, offsets)
     n, k = len(offsets) - 1, len(model.languages)
     total = np.zeros((n, k))
-    if len(w.row):
-        scores = word_scores(v, model.prob, buf, bounds)
-        at = tn.row_starts(w.row, n)
-        full = np.flatnonzero(np.diff(at))
-        for j in range(k):
-            total[full, j] = np.add.reduceat(scores[inverse, j], at[:-1][full])
+    whole = n > 1 or offsets[-1] - offsets[0] <= 2 * tn.BLOCK
+    for part in [offsets] if whole else map(np.array, tn.row_parts(data, int(offsets[0]), int(offsets[-1]), NOT_LETTERS)):
+        w, inverse, buf, bounds = _words(data, part)
+        if len(w.row):
+            scores = word_scores(v, model.prob, buf, bounds)
+            at = tn.row_starts(w.row, n)
+            full = np.flatnonzero(np.diff(at))
+            for j in range(k):
+                total[full, j] += np.add.reduceat(scores[inverse, j], at[:-1][full])
     best = total.argmax(axis=1)
     return best, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
 

@@ -3,8 +3,11 @@
 Text is taken as it is (no Unicode normalisation); a marker is put in front and
 stands for every space.  No piece has a marker after another character, so text
 splits exactly in front of such markers: each distinct chunk of a block of texts
-is segmented once, all chunks at the same time.  Characters without a piece
-become their bytes' pieces, so decoding gives back the very text.
+is segmented once, all chunks at the same time.  Long chunks without a marker are
+cut where no piece lies across, and what is still long is walked along piece by
+piece.  Characters without a piece become their bytes' pieces, so decoding gives
+back the very text.  Segmentations of equal score may be cut differently from
+other libraries: the shortest last piece wins.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import textnum as tn
-from skerry.llm.pieces import MARK, VOCABULARY, Lattice, Vocabulary, load
+from skerry.llm.pieces import LONG, MARK, VOCABULARY, Lattice, Vocabulary, char_lengths, free_cuts, load, take_apart, walk_best
 
 SCHEMA = "doc_id long, n_tokens long, n_fallback long, token_ids array<int>, round_trip boolean"
 
@@ -54,6 +57,60 @@ def _encode_chunks(v: Vocabulary, buf: np.ndarray, offsets: np.ndarray) -> tuple
     return bounds, ids, fell
 
 
+def _encode_marked(v: Vocabulary, buf: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, number of ids, bytes that fell back) of each chunk of marked texts that begin at ``head``, and all ids."""
+    n = len(buf)
+    lone = v.alone[buf]
+    cut = np.zeros(n, dtype=bool)
+    cut[head] = True
+    cut[1:] |= ((buf[1:] == MARK) & (buf[:-1] != MARK)) | lone[1:] | lone[:-1]
+    begin = np.flatnonzero(cut)
+    begin = take_apart(v.trie, buf, np.append(begin, n))[0][:-1]
+    end = np.append(begin[1:], n)
+    first, inverse = tn.distinct(buf, begin, end, tn.hash_spans(buf, begin, end))
+    sizes = (end - begin)[first]
+    short = sizes <= LONG
+    own = first[short]
+    bounds, ids, fell_ = _encode_chunks(v, buf[tn.ragged(begin[own], sizes[short])], np.concatenate([[0], np.cumsum(sizes[short])])) if len(own) else (np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    count, at, fell = (np.zeros(len(first), dtype=np.int64) for _ in range(3))
+    count[short], at[short], fell[short] = np.diff(bounds), bounds[:-1], fell_
+    more, used = [ids], len(ids)
+    for i in np.flatnonzero(~short):
+        chunk = buf[begin[first[i]] : end[first[i]]]
+        size, piece = walk_best(v, chunk)
+        each = np.where(piece < 0, size, 1)
+        out = np.repeat(piece, each)
+        start = np.cumsum(size) - size
+        unknown = piece < 0
+        out[np.repeat(unknown, each)] = v.byte_id[chunk[tn.ragged(start[unknown], size[unknown])]]
+        count[i], at[i], fell[i] = len(out), used, size[unknown].sum()
+        more.append(out)
+        used += len(out)
+    ids = np.concatenate(more)
+    return begin, count[inverse], fell[inverse], ids[tn.ragged(at[inverse], count[inverse])]
+
+
+def _segments(v: Vocabulary, buf: np.ndarray):
+    """Bounds of parts of about a block of one long marked text, cut where every segmentation is."""
+    lo, n = 0, len(buf)
+    while lo < n:
+        hi = lo + tn.BLOCK
+        while hi < n:
+            near = buf[hi : hi + tn.BLOCK]
+            after = np.flatnonzero((near == MARK) & (buf[hi - 1 : hi - 1 + len(near)] != MARK))
+            if not len(after):  # pieces that begin before the part may lie across its first bytes
+                back = max(lo, hi - 2 * v.trie.longest)
+                after = np.flatnonzero(free_cuts(v.trie, buf[back : hi + len(near)])[hi - back :][v.trie.longest :]) + v.trie.longest
+                after = after[char_lengths(near[after]) > 0]
+            if len(after):
+                hi += int(after[0])
+                break
+            hi += tn.BLOCK
+        hi = min(hi, n)
+        yield lo, hi
+        lo = hi
+
+
 def encode_block(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bounds, ids, bytes that fell back) of each text of a block; an empty text has no ids."""
     lo, n_rows = int(offsets[0]), len(offsets) - 1
@@ -69,21 +126,15 @@ def encode_block(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[
     own[head] = False
     buf[own] = np.where(raw == 32, np.uint8(MARK), raw)
     buf[head] = MARK
-    lone = v.alone[buf]
-    cut = np.zeros(n, dtype=bool)
-    cut[head] = True
-    cut[1:] |= ((buf[1:] == MARK) & (buf[:-1] != MARK)) | lone[1:] | lone[:-1]
-    begin = np.flatnonzero(cut)
-    end = np.append(begin[1:], n)
-    _, first, inverse = np.unique(tn.hash_spans(buf, begin, end), return_index=True, return_inverse=True)
-    sizes = (end - begin)[first]
-    chunks = buf[tn.ragged(begin[first], sizes)]
-    bounds, ids, fell = _encode_chunks(v, chunks, np.concatenate([[0], np.cumsum(sizes)]))
-    per_chunk = np.diff(bounds)[inverse]
-    out = ids[tn.ragged(bounds[:-1][inverse], per_chunk)]
+    del own
+    if n_rows == 1 and n > 2 * tn.BLOCK:
+        parts = [_encode_marked(v, buf[a:b], np.zeros(1, np.int64)) for a, b in _segments(v, buf)]
+        ids = np.concatenate([p[3] for p in parts])
+        return np.array([0, len(ids)]), ids, np.array([sum(int(p[2].sum()) for p in parts)])
+    begin, per_chunk, fell, out = _encode_marked(v, buf, head)
     at = np.searchsorted(begin, start)
     sums = lambda x: np.concatenate([[0], np.cumsum(x)])[at]
-    return sums(per_chunk), out, np.diff(sums(fell[inverse]))
+    return sums(per_chunk), out, np.diff(sums(fell))
 
 
 def decode_block(v: Vocabulary, bounds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +191,10 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     ``docs`` has doc_id (long, may be null) and text; other columns are not read.
     Null and empty texts have no ids and count as a round trip.  Repeated rows are
-    each returned; an empty table gives an empty result.  The vocabulary (fixed, a
-    few MB) is read on the driver from ``path`` and broadcast.
+    each returned; an empty table gives an empty result.  A very long text is taken
+    in parts of about a megabyte, with or without spaces, and gives the ids of the
+    whole.  The vocabulary (fixed, a few MB) is read on the driver from ``path`` and
+    broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(shared), SCHEMA)

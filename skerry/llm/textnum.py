@@ -1,7 +1,8 @@
 """Whole-column text work in numpy, straight on Arrow's UTF-8 buffers.
 
-A word's hash is a polynomial over its bytes modulo 2**64, read off prefix sums,
-so a column of texts is split and hashed without a Python object per word.
+A word's hash adds up its blocks of eight bytes, each mixed with its place, so a
+column of texts is split and hashed without a Python object per word.  Two words
+share a hash with probability 2**-64 each pair, whatever their letters' order.
 Blocks of about ``BLOCK`` bytes bound the memory whatever the batch; a longer
 text is cut at a separator.
 """
@@ -17,6 +18,10 @@ import pyarrow as pa
 BLOCK = 1 << 20
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
+#: Blocks of eight bytes up to which a span's hash is added block by block for all spans at once.
+_DIRECT = 8
+#: By number of bytes: the bits of a block that are kept.
+_KEPT = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 #: Space and the ASCII controls 9 to 13.
 SPACES = (9, 10, 11, 12, 13, 32)
 
@@ -30,28 +35,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def constants(n: int, seed: int) -> np.ndarray:
-    """n fixed odd 64-bit multipliers."""
-    return np.random.default_rng(seed).integers(1, 2**63, n, dtype=np.uint64) * _U(2) + _U(1)
+@lru_cache(maxsize=1)
+def _lower_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint8)
+    t[65:91] += 32
+    return t
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_R, -1, 2**64)
-    out = []
-    for x in (_R, inverse):
-        p = np.full(n, x, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+def lowered(d: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _lower_table()[d]
 
 
-@lru_cache(maxsize=2)
-def _byte_values(lower: bool) -> np.ndarray:
-    v = constants(256, 11)
-    if lower:
-        v[65:91] = v[97:123]
-    return v
+def constants(n: int, seed: int) -> np.ndarray:
+    """n fixed odd 64-bit multipliers."""
+    return np.random.default_rng(seed).integers(1, 2**63, n, dtype=np.uint64) * _U(2) + _U(1)
 
 
 @lru_cache(maxsize=8)
@@ -94,13 +92,60 @@ class Words:
 
 
 def hash_spans(d: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Hashes of the byte spans start:end of d."""
-    n = len(d)
-    power, inverse = _powers(1 << (max(n, BLOCK) + 1).bit_length())
-    total = np.empty(n + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(_byte_values(lower)[d] * power[:n], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    """Hashes of the byte spans start:end of d; ``lower`` takes A-Z as a-z.
+
+    Each block of eight bytes is mixed with its place in the span before the blocks
+    are added, so no structure of the bytes cancels out.
+    """
+    n, size = len(start), end - start
+    if lower:
+        d = lowered(d)
+    padded = np.concatenate([d, np.zeros(8, np.uint8)])
+    loads = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    out = mix(size.astype(np.uint64) + _U(_R))
+    short = np.flatnonzero(size <= 8 * _DIRECT)
+    for j in range(_DIRECT):
+        short = short[size[short] > 8 * j]
+        if not len(short):
+            break
+        out[short] += _mixed(loads, start[short] + 8 * j, size[short] - 8 * j, np.array([j], dtype=np.uint64))
+    long_ = np.flatnonzero(size > 8 * _DIRECT)
+    if len(long_):
+        n = -(-size[long_] // 8)
+        place = ragged(np.zeros(len(n), np.int64), n)
+        for lo, hi in blocks(np.concatenate([[0], np.cumsum(n)])):
+            own = slice(int(n[:lo].sum()), int(n[:hi].sum()))
+            at, left = place[own], np.repeat(size[long_[lo:hi]], n[lo:hi])
+            parts = _mixed(loads, np.repeat(start[long_[lo:hi]], n[lo:hi]) + 8 * at, left - 8 * at, at.astype(np.uint64))
+            out[long_[lo:hi]] += np.add.reduceat(parts, np.cumsum(n[lo:hi]) - n[lo:hi])
+    return mix(out)
+
+
+def _mixed(loads: np.ndarray, at: np.ndarray, left: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Eight bytes from each position, those past ``left`` zero, mixed with their place."""
+    x = loads[at].view(np.uint64).reshape(-1)
+    x = x & _KEPT[np.minimum(left, 8)]
+    return mix((x ^ mix(place * _U(_R) + _U(1))) * _U(_R))
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, inverse) of the distinct spans: equal hashes are compared byte by byte, so a clash costs nothing but a span more."""
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    size = end - start
+    rep = first[inverse]
+    other = np.flatnonzero(rep != np.arange(len(rep)))
+    bad = size[other] != size[rep[other]]
+    same = other[~bad]
+    for lo, hi in blocks(np.concatenate([[0], np.cumsum(size[same])])):
+        own = same[lo:hi]
+        differs = data[ragged(start[own], size[own])] != data[ragged(start[rep[own]], size[own])]
+        if differs.any():
+            bad[np.searchsorted(other, np.unique(np.repeat(own, size[own])[differs]))] = True
+    if bad.any():
+        clash = other[bad]
+        inverse[clash] = len(first) + np.arange(len(clash))
+        first = np.concatenate([first, clash])
+    return first, inverse
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -141,15 +186,20 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: tuple[int, ...] = S
     sep = separator_table(tuple(separators))
     if len(offsets) > 2 or offsets[-1] - offsets[0] <= 2 * BLOCK:
         return _split(data, offsets, sep, lower)
-    parts, lo, hi = [], int(offsets[0]), int(offsets[-1])
-    while lo < hi:  # one long row, cut where a separator stands
+    parts = [_split(data, np.array(p), sep, lower) for p in row_parts(data, int(offsets[0]), int(offsets[-1]), separators)]
+    return Words(*(np.concatenate([getattr(p, k) for p in parts]) for k in Words.__slots__))
+
+
+def row_parts(data: np.ndarray, lo: int, hi: int, separators: tuple[int, ...] = SPACES) -> Iterator[tuple[int, int]]:
+    """Parts of one long row of about a block each, cut where a separator stands; a longer word stays whole."""
+    sep = separator_table(tuple(separators))
+    while lo < hi:
         cut = min(lo + BLOCK, hi)
         while cut < hi and not sep[data[cut]]:
             ahead = np.flatnonzero(sep[data[cut : cut + BLOCK]])
             cut = cut + int(ahead[0]) if len(ahead) else min(cut + BLOCK, hi)
-        parts.append(_split(data, np.array([lo, cut]), sep, lower))
+        yield lo, cut
         lo = cut
-    return Words(*(np.concatenate([getattr(p, k) for p in parts]) for k in Words.__slots__))
 
 
 def row_starts(row: np.ndarray, n_rows: int) -> np.ndarray:
