@@ -6,6 +6,7 @@ import json
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -151,18 +152,103 @@ def test_lattice_is_all_segmentations(word):
     assert np.isclose(v.log_score[best].sum(), max(v.log_score[list(p)].sum() for p in paths))
 
 
-def test_long_word_in_log_space():
+def test_long_words():
+    """The sum and the best path of a long word are those of its lattice, whichever way they are found."""
     v = pieces.load()
-    prob = np.append(np.where(np.isfinite(v.log_score), np.exp(v.log_score), 0), 1e-9)[:, None] + 1e-12
-    word = np.frombuffer(bytes([pieces.MARK]) + b"international" * 4, dtype=np.uint8)
-    assert len(word) <= language_id.LINEAR
-    a = language_id.word_scores(v, prob, word, np.array([0, len(word)]))
-    limit, language_id.LINEAR = language_id.LINEAR, 5
+    rng = np.random.default_rng(4)
+    prob = np.append(np.where(np.isfinite(v.log_score), np.exp(v.log_score), 0), 1e-9)[:, None] * [[1.0, 0.5]] + 1e-12
+    score = np.append(v.log_score, v.unknown)
+    texts = [b"international" * 40, b"x" * 900, bytes(rng.choice(list(b"acgt"), 700).tolist()), "Straße数学é".encode() * 60, bytes(rng.choice(list(b"abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/"), 2000).tolist())]
+    for text in texts:
+        word = np.frombuffer(bytes([pieces.MARK]) + text, dtype=np.uint8)
+        bounds = np.array([0, len(word)])
+        lattice = pieces.Lattice(v.trie, word, bounds)
+        whole = lattice.forward_log(prob, language_id.GAIN)
+        assert np.allclose(language_id.word_scores(v, prob, word, bounds), whole) and np.allclose(pieces.walk_sum(v.trie, prob, word), whole[0])
+        small = pieces.Lattice(v.trie, word[:60], np.array([0, 60]))
+        assert np.allclose(np.log(small.forward(prob, 1.0)[small.last]), small.forward_log(prob, 1.0))
+        size, piece = pieces.walk_best(v, word)
+        _, ids, _ = piece_codec._encode_chunks(v, word, bounds)
+        cut = pieces.take_apart(v.trie, word, bounds)[0]
+        parts = np.concatenate([pieces.walk_best(v, word[a:b])[1] for a, b in itertools.pairwise(cut)])
+        back, at, best = lattice.best(v.log_score, v.unknown), int(lattice.last[0]), 0.0
+        while at > 0:
+            best += score[lattice.piece[back[at]]]
+            at = int(lattice.src[back[at]])
+        assert size.sum() == len(word) and np.isclose(score[piece].sum(), best) and np.isclose(score[parts].sum(), best)
+        assert piece_codec.decode([ids.tolist()]) == [text.decode()]
+
+
+def test_free_cuts_are_crossed_by_no_piece():
+    v = pieces.load()
+    rng = np.random.default_rng(5)
+    raw = "".join(rng.choice(list("abcdé数 zXQ"), 400)).encode()
+    buf = np.where(np.frombuffer(raw, dtype=np.uint8) == 32, np.uint8(pieces.MARK), np.frombuffer(raw, dtype=np.uint8))
+    crossed = np.zeros(len(buf), dtype=bool)
+    for i in range(len(buf)):
+        for size in range(1, v.trie.longest + 1):
+            if i + size <= len(buf) and v.trie.get(buf[i : i + size].tobytes()) >= 0:
+                crossed[i + 1 : i + size] = True
+    crossed |= pieces.char_lengths(buf) == 0
+    block, pieces.BLOCK = pieces.BLOCK, 50
     try:
-        b = language_id.word_scores(v, prob, word, np.array([0, len(word)]))
+        assert (pieces.free_cuts(v.trie, buf) == ~crossed).all()
     finally:
-        language_id.LINEAR = limit
-    assert np.allclose(a, b)
+        pieces.BLOCK = block
+
+
+def doubled(n):
+    """Two different words of 2**n letters by the rule a to ab, b to ba."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = doubled(10)
+    data, offsets = tn.buffers(pa.array([a + " " + b], pa.large_string()))
+    assert len(set(tn.words(data, offsets).hash.tolist())) == 2
+    assert piece_codec.decode(piece_codec.encode([a + " " + b])) == [a + " " + b]
+    got = minmax_dedup.near_duplicates(spark.createDataFrame([(1, a), (2, b)], DOCS)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2)}
+
+
+def test_equal_hashes_are_compared():
+    """Spans that share a hash stay apart where their bytes differ."""
+    data = np.frombuffer(b"catdogcatdoverat", dtype=np.uint8)
+    start, end = np.array([0, 3, 6, 9, 13, 14]), np.array([3, 6, 9, 13, 16, 16])
+    first, inverse = tn.distinct(data, start, end, np.zeros(6, dtype=np.uint64))
+    spans = [data[s:e].tobytes() for s, e in zip(start, end, strict=True)]
+    assert [spans[i] for i in first[inverse]] == spans
+
+
+def test_very_long_texts_are_taken_in_parts():
+    """The ids of the parts are those of the whole, and scores those of a text without the detour."""
+    v = pieces.load()
+    rng = np.random.default_rng(6)
+    vocabulary = ["the", "house", "Straße", "of", "数学", "x9", "walking"]
+    block, tn.BLOCK = tn.BLOCK, 1 << 12
+    try:
+        for joint in (" ", "", "  \n"):
+            text = joint.join(rng.choice(vocabulary, 6000))
+            data, offsets = tn.buffers(pa.array([text], pa.large_string()))
+            got = piece_codec.encode_block(v, data, offsets)[1]
+            assert piece_codec.decode([got.tolist()]) == [text]
+            tn.BLOCK = 1 << 30
+            want = piece_codec.encode_block(v, data, offsets)[1]
+            prob = rng.random((v.size + 1, 2)) / v.size
+            whole = language_id.predict_block(v, language_id.Model(["a", "b"], prob), data, offsets)
+            tn.BLOCK = 1 << 12
+            assert np.isclose(v.log_score[got].sum(), v.log_score[want].sum()) and len(got) == len(want)
+            assert np.allclose(language_id.predict_block(v, language_id.Model(["a", "b"], prob), data, offsets), whole)
+    finally:
+        tn.BLOCK = block
+
+
+def test_language_of_huge_word():
+    v = pieces.load()
+    prob = np.append(np.where(np.isfinite(v.log_score), np.exp(v.log_score), 0), 1e-9)[:, None] + 1e-12
     huge = np.frombuffer(bytes([pieces.MARK]) + b"ab" * 5000, dtype=np.uint8)
     assert np.isfinite(language_id.word_scores(v, prob, huge, np.array([0, len(huge)]))).all()
 
@@ -299,9 +385,9 @@ def spelt(stem, i):
     return stem + "".join("abcdefghij"[int(c)] for c in str(i))
 
 
-@pytest.mark.parametrize("n_templates,n_names", [(20, 10), (60, 5)])
+@pytest.mark.parametrize("n_templates,n_names", [(2, 20), (12, 20), (40, 20), (1000, 20), (60, 5)])
 def test_lines_of_many_templates_in_a_leaf(spark, n_templates, n_names):
-    """Every line beyond its template's first goes, also where a name is in more lines than a template."""
+    """Every line beyond its template's first goes, however many templates the leaf holds and names they share."""
     lines = [(t, f"1{t} 2:{n} 3 " + " ".join(spelt(w, t) for w in ("takes", "gives", "holds", "ends")) + " " + spelt("name", n)) for n in range(n_names) for t in range(n_templates)]
     docs = [(i, x) for i, (_, x) in enumerate(lines)]
     first = {}
@@ -311,6 +397,37 @@ def test_lines_of_many_templates_in_a_leaf(spark, n_templates, n_names):
     assert {r.doc_id for r in got if r.n_dropped == 0} == set(first.values())
 
 
+def random_lines(rng, n_docs, stems):
+    """Documents of lines with few different words, so that leaves are full and templates overlap."""
+    line = lambda: " ".join(["it", "was", str(rng.choice(["a", "the", "7"]))] + [str(rng.choice(stems)) for _ in range(int(rng.integers(0, 8)))])
+    return [(i, "\n".join(line() for _ in range(int(rng.integers(0, 6))))) for i in range(n_docs)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_against_sql(spark, tmp_path, seed):
+    rng = np.random.default_rng(seed)
+    docs = random_lines(rng, 150, ["red", "blue", "x1", "green"]) + [(200, None), (201, ""), (202, "\n \n"), (203, "it was\nit")]
+    passage = " ".join(spelt("w", i) for i in range(60))
+    docs += [(210 + i, passage + f" {spelt('end', i)}\nown {spelt('line', i)}") for i in range(2)]
+    df = spark.createDataFrame(docs, DOCS)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in c.execute(line_templates.OP4_SQL).fetchall()}
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.drop_recurring_lines(df).collect()}
+    assert got == want and sum(n for _, n in got.values()) > 50 and got[211][1] == 1
+
+
+def test_lines_do_not_depend_on_others_of_the_leaf(spark):
+    """Unrelated lines in the same leaf change nothing."""
+    own = [(i, f"it was a {a} in the {b} of old town") for i, (a, b) in enumerate(itertools.product(["fair", "feast", "wake"], ["north", "south"]))]
+    rng = np.random.default_rng(2)
+    others = [(100 + i, "it was a " + " ".join(spelt("z", int(x)) for x in rng.integers(0, 10**6, 7))) for i in range(300)]
+    run = lambda rows: {r.doc_id: r.text for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    alone, among = run(own), run(own + others)
+    assert alone == {i: among[i] for i, _ in own} and [t for t in alone.values() if t] == [own[0][1]]
+
+
 def test_long_passages_recur_in_two_documents(spark):
     """A passage of 60 words in two otherwise different documents leaves the second; a short line stays in both."""
     passage, short = " ".join(spelt("w", i) for i in range(60)), "a short line of words"
