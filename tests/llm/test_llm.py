@@ -640,7 +640,7 @@ def brute_overlaps(docs, items):
     for (i, t), (j, b) in itertools.product(docs, items):
         x, y = split((t or "").lower()), split((b or "").lower())
         width = min(spaced_seeds.WINDOW, len(y))
-        if y and any(100 * sum(x[a + k] == y[c + k] for k in range(width)) >= spaced_seeds.PERCENT * width for a in range(len(x) - width + 1) for c in range(len(y) - width + 1)):
+        if y and (len(y) >= spaced_seeds.LEAST or len(x) == len(y)) and any(100 * sum(x[a + k] == y[c + k] for k in range(width)) >= spaced_seeds.PERCENT * width for a in range(len(x) - width + 1) for c in range(len(y) - width + 1)):
             out.add((i, j))
     return out
 
@@ -649,13 +649,13 @@ def test_contamination(spark):
     rng = np.random.default_rng(6)
     vocabulary = [f"v{i}" for i in range(500)]
     words = lambda n: list(rng.choice(vocabulary, n))
-    items = [(j, words(int(rng.integers(13, 40)))) for j in range(12)]
+    items = [(j, words(int(rng.integers(1, 41)))) for j in range(12)]
     docs = []
     for i in range(40):
         own = words(80)
         if i % 2:
             passage = list(items[int(rng.integers(0, 12))][1])[: int(rng.integers(13, 20))]
-            for k in rng.choice(len(passage), int(rng.integers(0, 5)), replace=False):
+            for k in rng.choice(len(passage), min(len(passage), int(rng.integers(0, 5))), replace=False):
                 passage[k] = "changed"
             own[20:20] = passage
         docs.append((i, " ".join(own).upper() if i % 3 else " ".join(own)))
@@ -673,14 +673,33 @@ def test_short_items_substituted(spark):
         allowed = n - -(-spaced_seeds.PERCENT * n // 100)
         sets = [g for e in range(allowed + 1) for g in itertools.combinations(range(n), e)] + [tuple(range(allowed + 1))]
         docs += [(len(docs) + i, " ".join(["before", *("changed" if k in gone else w for k, w in enumerate(own)), "after"])) for i, gone in enumerate(sets)]
+        docs.append((len(docs), " ".join(own)))
     items += [(20, "the the the the"), (21, "the cat the dog the")]
     docs += [(len(docs), "the the cat the the"), (len(docs) + 1, "cat the dog the"), (len(docs) + 2, "the the the")]
     want = brute_overlaps(docs, items)
-    assert len(want) > len(docs) - 20
+    assert len(want) > len(docs) - 20 and {j for _, j in want} >= set(range(1, 14))
     got = spaced_seeds.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_frequent_seeds_are_listed_in_parts(spark):
+    """Many items that share a phrase: the same pairs and places as by the brute force, a few hits at a time."""
+    rng = np.random.default_rng(7)
+    phrase = "which of the following is true about the given set of words".split()
+    items = [(j, " ".join([*phrase, *(f"q{int(x)}" for x in rng.integers(0, 30, 8))])) for j in range(40)]
+    docs = [(i, " ".join([*(f"q{int(x)}" for x in rng.integers(0, 30, 5)), *phrase[: int(rng.integers(6, 13))], *(f"q{int(x)}" for x in rng.integers(0, 30, 9))])) for i in range(20)]
+    hashes = lambda texts: [spaced_seeds._words(pa.array([t], pa.large_string())).hash for t in texts]
+    index = spaced_seeds.Index(np.arange(40), hashes([t for _, t in items]))
+    w = spaced_seeds._words(pa.array([t for _, t in docs], pa.large_string()))
+    whole = index.overlaps(w.hash, w.row, tn.row_starts(w.row, 20))
+    assert {(int(r), int(i)) for r, i in whole[:2].T} == brute_overlaps(docs, items)
+    hits, spaced_seeds.HITS = spaced_seeds.HITS, 7
+    try:
+        assert (index.overlaps(w.hash, w.row, tn.row_starts(w.row, 20)) == whole).all()
+    finally:
+        spaced_seeds.HITS = hits
+
+
 def test_contamination_in_disguise(spark):
     """Case (accented letters too) and ASCII punctuation do not hide a passage; the positions count words."""
     passage = "L'été où les élèves ont déjà reçu ça à Genève, près du château fort"
