@@ -12,16 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import textnum as tn
+from skerry.llm.sampling import held_out, window
 
 #: Bytes of a chunk and between chunk starts; bytes of a filter and between its positions.
 CHUNK, HOP, WIDTH, STRIDE = 256, 192, 6, 2
 EMBED, FILTERS = 6, 32
-#: Labelled documents that the fit reads at most, chunks of each, rounds and seed.
-SAMPLE, CHUNKS, ROUNDS, SEED = 1600, 8, 14, 5
+#: Labelled documents that the fit reads at most, characters and chunks of each, rounds and seed.
+SAMPLE, CHARACTERS, CHUNKS, ROUNDS, SEED = 1600, 20_000, 8, 14, 5
 CUT = 0.3
 
 
@@ -68,6 +69,26 @@ def probability(net: Network, vector: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(vector @ net.out + net.shift, -30, 30)))
 
 
+def gradients(net: Network, x: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """(mean logistic loss, its gradients) of documents with ``sizes`` chunks each, ``x`` being (chunks, CHUNK) bytes."""
+    f = np.float32
+    h, where = pooled(net, x, index=True)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    mean = np.add.reduceat(h, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+    p = probability(net, mean)
+    d = ((p - labels) / len(sizes)).astype(f)
+    dh = (d[:, None] * net.out / sizes[:, None]).astype(f)[doc] * (h > 0)
+    # Only the largest response of a filter in a chunk has a gradient.
+    at = where * STRIDE
+    seen = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(WIDTH)]  # (chunks, FILTERS, WIDTH)
+    e = net.embed[seen].reshape(len(x), FILTERS, WIDTH * EMBED)
+    g = {"out": mean.T @ d, "shift": d.sum(keepdims=True), "bias": dh.sum(axis=0), "filters": np.einsum("nf,nfk->kf", dh, e)}
+    de = (dh[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+    g["embed"] = np.stack([np.bincount(seen.reshape(-1), de[:, j], minlength=256) for j in range(EMBED)], axis=1)
+    loss = -np.mean(np.log(np.where(labels > 0, p, 1 - p)))
+    return float(loss), {k: v.astype(f) for k, v in g.items()}
+
+
 def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Network:
     """Logistic loss by Adam, a few chunks of each text, evenly spread."""
     rng = np.random.default_rng(SEED)
@@ -83,26 +104,11 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Network:
     first, second, t = {k: np.zeros_like(v) for k, v in params.items()}, {k: np.zeros_like(v) for k, v in params.items()}, 0
     for _ in range(rounds):
         for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 32)):
-            sizes = np.array([len(own[i]) for i in part])
             pick = np.concatenate([own[i] for i in part])
-            x = gather(data, offsets, row[pick], start[pick])
-            h, where = pooled(net, x, index=True)
-            doc = np.repeat(np.arange(len(part)), sizes)
-            mean = np.add.reduceat(h, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-            p = probability(net, mean)
-            d = ((p - labels[part]) / len(part)).astype(f)
-            dh = (d[:, None] * net.out / sizes[:, None]).astype(f)[doc] * (h > 0)
-            # Only the largest response of a filter in a chunk has a gradient.
-            at = where * STRIDE
-            seen = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(WIDTH)]  # (chunks, FILTERS, WIDTH)
-            e = net.embed[seen].reshape(len(x), FILTERS, WIDTH * EMBED)
-            g = {"out": mean.T @ d, "shift": d.sum(keepdims=True), "bias": dh.sum(axis=0), "filters": np.einsum("nf,nfk->kf", dh, e)}
-            de = (dh[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
-            index = seen.reshape(-1)
-            g["embed"] = np.stack([np.bincount(index, de[:, j], minlength=256) for j in range(EMBED)], axis=1)
+            _, g = gradients(net, gather(data, offsets, row[pick], start[pick]), np.array([len(own[i]) for i in part]), labels[part])
             t += 1
             for k, v in params.items():
-                grad = g[k].astype(f) + f(1e-5) * v
+                grad = g[k] + f(1e-5) * v
                 first[k] += 0.1 * (grad - first[k])
                 second[k] += 0.001 * (grad**2 - second[k])
                 v -= 0.01 * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
@@ -133,11 +139,12 @@ def _run(shared):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Fit on the ``sample`` labelled documents lowest by a hash of doc_id; a doc_id with several labels counts as 1 if any is."""
+    """Fit on a window of at most CHARACTERS of each of the ``sample`` labelled documents lowest by a hash of doc_id; a doc_id with several labels counts as 1 if any is."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
     ids = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id")).join(marks, "doc_id")
     ids = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where("text is not null")
+    rows = rows.select("doc_id", "y", window("text", "doc_id", CHARACTERS).alias("text"))
     rows = sorted((r.doc_id, r.y, r.text) for r in rows.toLocalIterator())[:sample]
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], dtype=np.float32))
 
@@ -147,18 +154,14 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     ``docs`` has doc_id (long, may be null) and text; other columns are not read.  A
     null text is scored as an empty one.  Repeated rows are each returned; an empty
-    table gives an empty result.
+    table gives an empty result.  Very long texts are scored whole, a few chunks at a
+    time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(shared), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
-def held_out(col: str) -> Column:
-    """True where crc32 of the id's decimal text is divisible by 5."""
-    return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 def op8_byte_cnn(spark, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from the labels of those that are not held out."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

@@ -15,14 +15,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm import textnum as tn
 from skerry.llm.pieces import LONG, MARK, VOCABULARY, Lattice, Vocabulary, load, take_apart, walk_sum
+from skerry.llm.sampling import held_out, window
 
-#: Labelled documents per language that the fit reads at most, and its rounds.
-SAMPLE, ROUNDS = 300, 4
+#: Labelled documents per language that the fit reads at most, characters of each, and its rounds.
+SAMPLE, CHARACTERS, ROUNDS = 300, 20_000, 4
 #: Weight, in pieces, of the languages' common distribution in each language's own.
 PRIOR = 200.0
 #: Bytes of a word beyond which it is taken apart (and is not fitted on); in sums each byte is scaled by GAIN.
@@ -132,11 +133,15 @@ def _run(shared):
 
 
 def train(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> Model:
-    """Fit on the rows of ``docs`` with text and lang: per language the ``sample`` rows lowest by a hash of doc_id."""
+    """Fit on the rows of ``docs`` with text and lang: per language a window of at most CHARACTERS of each of the ``sample`` rows lowest by a hash of doc_id.
+
+    So the driver holds 6 MB of characters a language at most.
+    """
     labelled = docs.where("text is not null and lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).where("text is not null")
+    rows = rows.select("doc_id", "lang", window("text", "doc_id", CHARACTERS).alias("text"))
     texts: dict[str, list[str]] = {}
     for r in sorted(rows.collect()):
         own = texts.setdefault(r.lang, [])
@@ -152,7 +157,8 @@ def identify(docs: DataFrame, model: Model, path: str = VOCABULARY) -> DataFrame
     ``docs`` has doc_id (long, may be null) and text; no other column is read.  A
     null text or one without a letter gives ``und`` and 0.0, as does a model
     without languages.  Equal posteriors give the alphabetically first language.
-    Repeated rows are each returned; an empty table gives an empty result.
+    Repeated rows are each returned; an empty table gives an empty result.  Very long
+    texts are scored whole, in parts of about a megabyte, with or without spaces.
     """
     shared = docs.sparkSession.sparkContext.broadcast((load(path), model))
     if not model.languages:
@@ -161,7 +167,12 @@ def identify(docs: DataFrame, model: Model, path: str = VOCABULARY) -> DataFrame
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, path: str = VOCABULARY) -> DataFrame:
-    """The rows of ``docs``, all columns, that have a language with posterior ``least`` or more; ``und`` goes."""
+    """The rows of ``docs``, all columns, that have a language with posterior ``least`` or more; ``und`` goes.
+
+    A model without languages, as a table without labels gives, can tell no language
+    from another: then only rows without a letter go.  Null ids, repeated rows and
+    other columns, whatever their names, make no difference.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((load(path), model))
     text_at = docs.columns.index("text")
     identify_rows = _run(shared)
@@ -174,12 +185,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, path: str
             keep = np.concatenate(scores) if scores else np.zeros(0)  # und has score 0
             yield batch.filter(pa.array(keep >= max(least, 1e-12)))
 
-    return docs.mapInArrow(run, docs.schema) if model.languages else docs.limit(0)
-
-
-def held_out(col: str) -> Column:
-    """True where crc32 of the id's decimal text is divisible by 5."""
-    return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return docs.mapInArrow(run, docs.schema) if model.languages else docs.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
