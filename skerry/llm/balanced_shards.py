@@ -131,7 +131,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> D
         at += room
     filled = rest.select("doc_id", "size", "text_crc32", which.alias("shard"), slot.alias("slot"))
     out = placed.select("doc_id", "size", "text_crc32", "shard", "slot").unionByName(filled)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return ws.finish(out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")))
 
 
 def op6_balanced_shards(spark, sf_dir: str) -> DataFrame:

@@ -153,7 +153,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_lon
     """
     ws = Workspace(docs.sparkSession)
     docs = docs.drop(counted).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    gone = ws.write(recurring_lines(ws, docs.select("doc_id", "text"), min_docs, min_docs_long).groupBy("doc_id").agg(F.collect_set("line").alias(counted)))
+    gone = ws.finish(recurring_lines(ws, docs.select("doc_id", "text"), min_docs, min_docs_long).groupBy("doc_id").agg(F.collect_set("line").alias(counted)))
     touched = docs.join(gone.hint("merge"), "doc_id", "left").select(*docs.columns, counted)
     schema = T.StructType([*docs.schema.fields, T.StructField(counted, T.LongType())])
     return touched.mapInArrow(_without(docs.columns.index("text")), schema)

@@ -121,19 +121,19 @@ def _across(ws: Workspace, apart: DataFrame, sets: DataFrame, percent: int) -> D
     label are joined with the others.
     """
     tokens = apart.join(sets, "rep").select("rep", "label", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
-    seen = tokens.groupBy("g").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g", "df")
+    seen = ws.write(tokens.groupBy("g").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g", "df"))
     shared = tokens.join(seen.hint("merge"), "g")
     own = Window.partitionBy("rep")
     shared = shared.withColumn("place", F.row_number().over(own.orderBy("df", "g"))).withColumn("s", F.count("*").over(own))
     prefix = F.expr(f"n - cast(ceil({percent} * n / 100.0) as bigint) + 1 - (n - s)")
     # From the first common shingle on, a pair has at most this many in common.
     prefix = ws.write(shared.where(F.col("place") <= prefix).select("g", "rep", "label", "n", (F.col("s") - F.col("place") + 1).alias("most")))
-    largest = prefix.groupBy("g", "label").count().groupBy("g").agg(F.max(F.struct("count", "label")).alias("top")).select("g", F.col("top.label").alias("major"))
+    largest = ws.write(prefix.groupBy("g", "label").count().groupBy("g").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("g", F.col("top.label").alias("major")))
     few = prefix.join(largest, "g").where("label <> major").select("g", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("most").alias("mx"))
     enough = f"{100 + percent}L * least(most, mx) >= {percent}L * (n + nx)"
     pairs = few.join(prefix, "g").where(F.expr(f"label <> lx and 100L * least(n, nx) >= {percent}L * greatest(n, nx) and {enough}"))
     out = ws.write(pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct())
-    ws.drop(prefix)
+    ws.drop(seen, prefix, largest)
     return out
 
 
@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Null, empty and blank texts have an empty set, link with nothing and are kept.
     A row without doc_id is returned with a null component and kept.  Rows that
     share a doc_id are one node and each is returned.  An empty table gives an
-    empty result.
+    empty result.  Very long texts are read whole.  Shingles are known by 64-bit
+    hashes of their words' bytes.  The result is a written table.
     """
     spark = docs.sparkSession
     ws = Workspace(spark)
@@ -177,7 +178,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     )
     buckets = groups.select("rep", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last")
+    shared = ws.write(buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last"))
     members = ws.write(buckets.join(shared, "key").select("key", "rep", "pivot"))
     first = ws.write(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -187,23 +188,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = components(ws, links)
 
     own = labels.select(F.col("node").alias("rep"), "component")
-    apart = members.select("key", "rep").join(own, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    apart = ws.write(members.select("key", "rep").join(own, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")))
+    mixed = ws.write(apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
     rest = _across(ws, ws.write(apart.join(mixed, "key").select("rep", "label").distinct()), sets, percent)
     if not rest.isEmpty():
         labels = components(ws, links.union(_linked(ws, rest, sets, percent)))
-    ws.drop(sets)
     own = labels.select(F.col("node").alias("rep"), "component")
     reps = groups.select("fp_a", "fp_b", "n_shingles", "rep").join(own, "rep", "left")
     reps = reps.select("fp_a", "fp_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.drop("bands").join(reps.hint("merge"), ["fp_a", "fp_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), None).otherwise(component)
-    return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return ws.finish(out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, all columns, without the documents that ``near_duplicates`` doesn't keep; of each group the smallest doc_id stays."""
+    """``docs``, all columns, without the documents that ``near_duplicates`` doesn't keep; of each group the smallest doc_id stays.
+
+    All rows of the doc_id that stays do; rows without doc_id, and documents without words, stay.
+    """
     gone = near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is named (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of this machine only where none is named and all runs in this JVM (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = sc._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='skerry-')}"
     sc.setCheckpointDir(own)
     return own
@@ -26,13 +29,16 @@ class Workspace:
     """Parquet tables in the shared folder: they survive lost executors, and go when the JVM ends.
 
     ``write`` runs the plan and returns a frame that reads the written table, so
-    later steps neither recompute nor depend on executor-local blocks.
+    later steps neither recompute nor depend on executor-local blocks.  Keys that many
+    rows share stay harmless in joins of written tables: adaptive execution splits
+    partitions of a plain scan, but not those that an aggregate needs whole.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/skerry-{uuid.uuid4().hex}"
         self._n = 0
+        self._tables: list[DataFrame] = []
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(path)
@@ -44,6 +50,13 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._skerry_path = path
+        self._tables.append(out)
+        return out
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """``df`` written, and all other tables of this workspace deleted."""
+        out = self.write(df)
+        self.drop(*(t for t in self._tables if t is not out))
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -51,3 +64,4 @@ class Workspace:
         for df in frames:
             if path := getattr(df, "_skerry_path", None):
                 self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        self._tables = [t for t in self._tables if not any(t is df for df in frames)]
