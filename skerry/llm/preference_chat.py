@@ -63,11 +63,14 @@ def format_pairs(pairs: DataFrame, trained: str = "assistant") -> DataFrame:
     ``pairs`` has pair_id and the turn lists chosen and rejected (struct of role and
     text); other columns are not read.  The longest common turn prefix is rendered
     as the prompt; a completion renders the turns after it, and its mask holds the
-    spans that are trained on.  A null list counts as empty; equal conversations
-    give two empty completions; repeated rows are each returned.
+    spans that are trained on.  A null list counts as empty, a null turn, role or
+    text as an empty one; equal conversations give two empty completions; repeated
+    rows are each returned; an empty table gives an empty result.  Very long texts
+    and conversations are rendered whole: a conversation is one training record.
     """
     empty = F.array().cast(TURN)
-    own = pairs.select("pair_id", *(F.coalesce(F.col(c).cast(TURN), empty).alias(c) for c in ("chosen", "rejected")))
+    told = lambda t: F.struct(*(F.coalesce(t[c], F.lit("")).alias(c) for c in ("role", "text")))
+    own = pairs.select("pair_id", *(F.transform(F.coalesce(F.col(c).cast(TURN), empty), told).alias(c) for c in ("chosen", "rejected")))
     own = own.withColumn("n_prefix", common_prefix(F.col("chosen"), F.col("rejected")))
     rest = lambda c: F.slice(c, F.col("n_prefix") + 1, F.greatest(F.size(c), F.lit(1)))
     return own.select(
@@ -86,6 +89,7 @@ def mismatched_pairs(turns: DataFrame) -> DataFrame:
 
     Where the next conversation or its assistant turn is missing, nothing takes the
     place; a conversation without assistant turn gets the other's as a further turn.
+    Rows that repeat a turn are turns of their own; an empty table gives no pairs.
     """
     talks = conversations(turns)
     last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm import balanced_shards, byte_cnn, graph, language_id, line_templates, minmax_dedup, one_bit_ann, piece_codec, pieces, preference_chat, registry, secret_crf, spaced_seeds
 from skerry.llm import textnum as tn
-from skerry.llm.workspace import Workspace
+from skerry.llm.workspace import Workspace, shared_dir
 from tests.oracle import same
 
 SF = "/root/testdata/sf0.001"
@@ -101,7 +101,8 @@ def test_against_duckdb(spark, name):
 def test_preference_pairs(spark):
     turns = "array<struct<role:string,text:string>>"
     a, b, c = ("user", "hi"), ("assistant", "yö"), ("assistant", "no")
-    rows = [(1, [a, b], [a, c], 0), (2, [a], [a], 0), (3, None, [a], 0), (4, [], None, 0), (5, [a, b, a], [a, b], 0), (1, [a, b], [a, c], 0), (6, [(None, None)], [a], 0)]
+    rows = [(1, [a, b], [a, c], 0), (2, [a], [a], 0), (3, None, [a], 0), (4, [], None, 0), (5, [a, b, a], [a, b], 0), (1, [a, b], [a, c], 0)]
+    rows += [(6, [a, (None, "x"), ("assistant", None), b], [a, ("", "x"), None, b], 0)]
     out = preference_chat.format_pairs(spark.createDataFrame(rows, f"pair_id long, chosen {turns}, rejected {turns}, n_prefix int"))
     got = {r.pair_id: r for r in out.collect()}
     assert out.count() == 7
@@ -111,7 +112,12 @@ def test_preference_pairs(spark):
     assert (got[2].n_prefix, got[2].chosen, got[2].rejected, got[2].chosen_mask) == (1, "", "", [])
     assert (got[3].n_prefix, got[3].prompt, got[3].rejected) == (0, "", "<|user|>\nhi<|end|>\n")
     assert got[4].chosen == got[4].rejected == "" and got[5].n_prefix == 2 and got[5].rejected == ""
-    assert got[6].chosen is None or got[6].n_prefix == 0
+    # a null role, text or turn counts as empty: no turn is lost, and the masks stay right
+    r = got[6]
+    assert (r.n_prefix, r.prompt) == (2, "<|user|>\nhi<|end|>\n<||>\nx<|end|>\n")
+    assert r.chosen == "<|assistant|>\n<|end|>\n<|assistant|>\nyö<|end|>\n" and r.rejected == "<||>\n<|end|>\n<|assistant|>\nyö<|end|>\n"
+    assert [r.chosen[s.start : s.stop] for s in r.chosen_mask] == ["<|end|>\n", "yö<|end|>\n"] and [r.rejected[s.start : s.stop] for s in r.rejected_mask] == ["yö<|end|>\n"]
+    assert preference_chat.format_pairs(spark.createDataFrame([], f"pair_id long, chosen {turns}, rejected {turns}")).count() == 0
 
 
 def test_conversation_edges(spark):
@@ -307,6 +313,7 @@ def test_language_edges(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 1, 5, 6]
     none = language_id.train(df.limit(0).withColumn("lang", F.lit("x")))
     assert {r.lang_pred for r in language_id.identify(df, none).collect()} == {"und"}
+    assert sorted(str(r.doc_id) for r in language_id.keep_identified(df, none).collect()) == ["1", "1", "5", "6", "None"]  # without labels only texts without a letter go
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
@@ -485,14 +492,65 @@ def test_secrets(spark):
     assert len(secret_crf.train(df.limit(0)).weight)
 
 
+def test_field_finds_what_the_patterns_miss():
+    """On documents and secrets that the fit has not seen."""
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY hash(doc_id)").fetchall()]
+    field = secret_crf.fit_texts([t[: secret_crf.CHARACTERS] for t in texts[:600]])
+    seed, secret_crf.SEED = secret_crf.SEED, 99
+    try:
+        marked, marks = secret_crf._marked(texts[600:], 600)
+    finally:
+        secret_crf.SEED = seed
+    n, found, false = 0, 0, 0
+    for text, own in zip(marked, marks, strict=True):
+        data, offsets = tn.buffers(pa.array([text], pa.large_string()))
+        w, f = secret_crf.features(data, offsets)
+        a, z = secret_crf._spans(secret_crf.decode(field, field.emissions(f), w.row), w.row)
+        at = secret_crf._points(data, 0, int(offsets[-1]))
+        spans, base = [(int(at[w.start[i]]), int(at[w.end[j]])) for i, j in zip(a, z)], secret_crf.base_spans(text)
+        meet = lambda s, other: any(s[0] < o[1] and o[0] < s[1] for o in other)
+        missed = [s for s in own if not meet(s, base)]
+        n, found = n + len(missed), found + sum(meet(s, spans) for s in missed)
+        false += sum(not meet(s, own) and not meet(s, base) for s in spans)
+    assert n > 150 and found >= 0.9 * n and false <= 0.02 * n, (n, found, false)
+
+
+def test_field_gradient():
+    rng = np.random.default_rng(3)
+    first, size = secret_crf._FIRST, int(secret_crf._FIRST[-1])
+    field = secret_crf.Field(rng.normal(0, 0.3, (size, 3)), rng.normal(0, 0.5, (3, 3)))
+    x = np.stack([rng.integers(a, a + 4, (5, 7)) for a in first[:-1]], axis=2)
+    x[2, 4:] = -1
+    y = rng.integers(0, 3, (5, 7))
+    y[2, 4:] = 0
+    value, grad, grad_t = secret_crf.likelihood(field, x, y)
+    brute = 0.0
+    for i in range(5):
+        e = field.emissions(x[i][x[i][:, 0] >= 0]).astype(float)
+        score = lambda t: sum(e[k, c] for k, c in enumerate(t)) + sum(field.change[p, q] for p, q in itertools.pairwise(t))  # noqa: B023, E731
+        brute += score(y[i][: len(e)]) - np.log(sum(np.exp(score(t)) for t in itertools.product(range(3), repeat=len(e))))
+    assert np.isclose(value, brute, rtol=1e-5)
+    step = 1e-3
+    for k, c in [(0, 0), (1, 2), (int(first[3]) + 2, 1)]:
+        up, down = (secret_crf.Field(field.weight.copy(), field.change) for _ in range(2))
+        up.weight[k, c] += step
+        down.weight[k, c] -= step
+        assert np.isclose((secret_crf.likelihood(up, x, y)[0] - secret_crf.likelihood(down, x, y)[0]) / (2 * step), grad[k, c], atol=5e-3)
+    for p, q in itertools.product(range(3), repeat=2):
+        move = np.zeros((3, 3))
+        move[p, q] = step
+        more, less = (secret_crf.likelihood(secret_crf.Field(field.weight, field.change + s * move), x, y)[0] for s in (1, -1))
+        assert np.isclose((more - less) / (2 * step), grad_t[p, q], atol=5e-3)
+
+
 def test_crf_decoding_is_exact():
     rng = np.random.default_rng(9)
-    field = secret_crf.Field(np.zeros((1, 3), np.float32), rng.normal(0, 2, (3, 3)).astype(np.float32))
+    field = secret_crf.Field(np.zeros((1, 3), np.float32), rng.normal(0, 2, (3, 3)).astype(np.float32), 1.0)
     e = rng.normal(0, 4, (600, 3)).astype(np.float32)
     row = np.sort(rng.integers(0, 40, 600))
     tags = secret_crf.decode(field, e, row)
     for r in np.unique(row):
-        own = e[row == r] + np.array([secret_crf.MARGIN, 0, 0], np.float32)
+        own = e[row == r] + np.array([field.margin, 0, 0], np.float32)
         assert (secret_crf.viterbi(own[None].astype(float), field.change)[0] == tags[row == r]).all()
     small = e[:6].astype(float)
     value = lambda y: sum(small[i, t] for i, t in enumerate(y)) + sum(field.change[a, b] for a, b in zip(y, y[1:]))
@@ -522,6 +580,20 @@ def test_shards(spark):
     assert balanced_shards.shard_documents(df.limit(0)).count() == 0
 
 
+def test_shards_cut_no_link_where_groups_fit(spark):
+    """On a whole table: rows, sizes and checksums are those of the table, counts at most one apart, and no link is cut."""
+    folder = "/root/testdata/sf0.1"
+    got = balanced_shards.op6_balanced_shards(spark, folder).toPandas()
+    want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall()]
+    assert sorted(zip(got.doc_id, got["size"], got.text_crc32)) == sorted(want)
+    counts = got.shard.value_counts()
+    assert sorted(counts.index) == list(range(8)) and counts.max() - counts.min() <= 1
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard").slot)
+    groups = got.groupby(["size", "text_crc32"]).shard
+    linked = groups.count() > 1
+    assert linked.sum() > 500 and groups.nunique()[linked].max() == 1
+
+
 def test_shards_are_native(spark):
     plan = balanced_shards.op6_balanced_shards(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -568,6 +640,27 @@ def test_across_finds_every_link(spark):
     assert {(r.a, r.b) for r in found.collect()} == want and want
 
 
+def test_common_shingle_makes_few_pairs(spark):
+    """Two thousand documents that share a shingle and nothing else, though all were put into one bucket: few pairs are looked at."""
+    sets = [(i, [0, *range(10 * i + 10, 10 * i + 18)]) for i in range(2000)]
+    table = spark.createDataFrame(sets, "rep long, shingles array<long>")
+    assert minmax_dedup._across(Workspace(spark), table.select("rep", F.col("rep").alias("label")), table, 85).count() == 0
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    Context._jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_near_duplicate_edges(spark):
     got = minmax_dedup.near_duplicates(edges(spark), 3, 85)
     rows = got.collect()
@@ -612,6 +705,23 @@ def test_chunks_cover_the_text():
         assert own[0] == 0 and own[-1] + byte_cnn.CHUNK >= n and (np.diff(own) == byte_cnn.HOP).all() and (row == 1).sum() == 1
 
 
+def test_network_gradient():
+    """Against differences in double precision."""
+    rng = np.random.default_rng(2)
+    net = byte_cnn.fit([], np.zeros(0))
+    net = byte_cnn.Network(net.embed.astype(float), net.filters.astype(float), rng.normal(0.2, 0.1, byte_cnn.FILTERS), net.out.astype(float), 0.1)
+    x, sizes, labels = rng.integers(0, 256, (7, byte_cnn.CHUNK)), np.array([2, 1, 4]), np.array([1.0, 0.0, 1.0])
+    _, g = byte_cnn.gradients(net, x, sizes, labels)
+    for name, places in {"out": [(3,), (9,)], "bias": [(3,), (30,)], "filters": [(0, 3), (20, 11)], "embed": [(7, 2), (200, 0)]}.items():
+        for at in places:
+            loss = []
+            for step in (1e-5, -1e-5):
+                moved = byte_cnn.Network(*(getattr(net, k).copy() for k in ("embed", "filters", "bias", "out")), net.shift)
+                getattr(moved, name)[at] += step
+                loss.append(byte_cnn.gradients(moved, x, sizes, labels)[0])
+            assert np.isclose((loss[0] - loss[1]) / 2e-5, g[name][at], rtol=1e-2, atol=1e-5), (name, at)
+
+
 def test_gradient_free_forward_is_the_definition():
     net = byte_cnn.fit([], np.zeros(0))
     text = b"The quick brown fox " * 30
