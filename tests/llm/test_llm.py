@@ -875,3 +875,72 @@ def test_pipeline_keeps_one_of_five_copies(spark, tmp_path):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
     assert set(out) == {*range(4), 20} and piece_codec.decode([list(out[20].token_ids)]) == [copy]
     assert {r.doc_id for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()} == {*range(4), 20, 40, 41}
+
+
+def test_pipeline_stages_on_edge_cases(spark, tmp_path):
+    """Empty table, null and repeated ids, null and blank texts, a very long text, columns that operators use themselves."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "the"), (2, "a b c d e f g h i j k l m n o"), (None, "x y z w"), (3, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    names = ["n_dropped", "n_dropped1", "rep", "component_id", "n_shingles", "leaf", "key", "parts", "template", "first", "score", "lang_pred", "item_id", "line", "kept"]
+    rows = [(*r, "en", "s", len(r[1] or "")) for r in [*EDGES, (11, "the"), (12, "so the house of the river"), (13, "über a b c d e f g h i j k l m n o")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"'{n}' as {n}" for n in names))
+    want = {
+        "language": [1, 1, 6, 7, 8, 9, 11, 12, 13, None],
+        "line_dedup": [1, 1, 2, 3, 4, 6, 7, 8, 9, 11, 12, 13, None],  # the template of doc 1 is in it and in 7 only
+        "near_dedup": [1, 1, 2, 3, 4, 6, 8, 9, 11, 12, 13, None],
+        "decontamination": [1, 1, 2, 3, 4, 6, 7, 8, 9, 12, None],
+    }
+    order = lambda x: sorted(x, key=lambda i: (i is None, i))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"file://{tmp_path}")
+        assert out.columns == docs.columns and order(r.doc_id for r in out.select("doc_id").collect()) == order(want[name]), name
+        none = stage(spark, docs.limit(0), f"file://{tmp_path}")
+        assert none.columns == docs.columns and none.count() == 0
+    _, last = corpus_pipeline.STAGES[-1]
+    assert last(spark, docs, "").count() == len(rows) and last(spark, docs.limit(0), "").count() == 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert order(r.doc_id for r in corpus_pipeline.identify_language(spark, unlabelled, "").select("doc_id").collect()) == order(want["language"])
+
+
+def brute_pipeline(docs, items):
+    """The stages from line dedup to decontamination on (doc_id, text) rows with distinct ids, as the contracts say it."""
+    split = lambda x: tuple("" if re.search("[0-9]", w) else w for w in WORDS.findall(x))
+
+    def templates(k):
+        n, r = len(k), max(len(k) - 3, 0)
+        part = lambda j: k[3 + j * r // 5 : 3 + (j + 1) * r // 5]
+        for free in [(), *itertools.combinations(range(5), 2)]:
+            yield n, free, k[:3], tuple(part(j) for j in range(5) if j not in free)
+
+    seen = {}
+    for i, t in docs:
+        for x in (t or "").split("\n"):
+            if k := split(x):
+                for m in templates(k):
+                    seen.setdefault(m, set()).add(i)
+    gone = lambda i, x: bool(k := split(x)) and any(len(seen[m]) >= (2 if m[0] > 50 else 3) and min(seen[m]) < i for m in templates(k))
+    cut = []
+    for i, t in docs:
+        left = None if t is None else [x for x in t.split("\n") if not gone(i, x)]
+        if t is None or len(left) == len(t.split("\n")) or WORDS.search("\n".join(left)):
+            cut.append((i, t if t is None else "\n".join(left)))
+    sets = {i: shingles(t, 5) for i, t in cut}
+    linked = lambda a, b: bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    group = clusters(sets, linked)
+    cut = [(i, t) for i, t in cut if group[i] == i]
+    bad = {i for i, _ in brute_overlaps(cut, items)}
+    return {i: t for i, t in cut if i not in bad}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    table = duckdb.sql("SELECT doc_id, text, lang, source, n_chars FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id").fetchall()
+    items = duckdb.sql("SELECT item_id, text FROM '/root/testdata/sf0.001/benchmark.parquet'").fetchall()
+    kept = language_id.keep_identified(spark.read.parquet(f"{SF}/documents.parquet"), language_id.train(spark.read.parquet(f"{SF}/documents.parquet")))
+    known = {r.doc_id for r in kept.collect()}
+    want = brute_pipeline([r[:2] for r in table if r[0] in known], items)
+    out = corpus_pipeline.run(spark, SF)
+    back = {r.doc_id: r.text for r in piece_codec.decode_documents(out).collect()}
+    assert back == {i: t for i, t in want.items()} and len(back) < len(table) and out.where("not round_trip").count() == 0
