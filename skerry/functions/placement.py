@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -22,6 +23,19 @@ def ring(nodes: Sequence[str], vnodes: int = VNODES) -> list[tuple[int, str]]:
     return sorted((int(hashlib.sha256(f"{n}#{i}".encode()).hexdigest()[:8], 16), n) for n in nodes for i in range(vnodes))
 
 
+def _before(key: Column, points: list[tuple[int, str]]) -> Column:
+    """How many positions are under the key's hash, which is computed once: a coarse ring first, then one stretch of the whole."""
+    step = max(1, math.isqrt(len(points)))
+    at = F.array(*(F.lit(p) for p, _ in points))
+    coarse = F.array(*(F.lit(p) for p, _ in points[::step]))
+
+    def index(h: Column) -> Column:
+        skipped = F.greatest(F.size(F.filter(coarse, lambda p: p < h)) - 1, F.lit(0)) * step
+        return F.transform(F.array(skipped), lambda s: s + F.size(F.filter(F.slice(at, s + 1, F.lit(step)), lambda p: p < h)))[0]
+
+    return F.transform(F.array(hash_key(key)), index)[0]
+
+
 def ring_node(key: Column, nodes: Sequence[str], vnodes: int = VNODES) -> Column:
     """The node at the first position not under the key's hash, wrapping round; null on an empty ring.
 
@@ -30,20 +44,19 @@ def ring_node(key: Column, nodes: Sequence[str], vnodes: int = VNODES) -> Column
     points = ring(nodes, vnodes)
     if not points:
         return F.lit(None).cast("string")
-    at = F.array(*(F.lit(p) for p, _ in points))
     names = F.array(*(F.lit(n) for _, n in points))
-    index = F.size(F.filter(at, lambda p: p < hash_key(key)))
-    return F.element_at(names, F.when(index == len(points), 0).otherwise(index) + 1)
+    return F.element_at(names, _before(key, points) % len(points) + 1)
 
 
 def ring_nodes(key: Column, nodes: Sequence[str], n: int, vnodes: int = VNODES) -> Column:
     """The first n distinct nodes clockwise from the key."""
     points = ring(nodes, vnodes)
-    at = F.array(*(F.lit(p) for p, _ in points)) if points else F.array().cast("array<bigint>")
-    names = F.array(*(F.lit(x) for _, x in points)) if points else F.array().cast("array<string>")
-    index = F.size(F.filter(at, lambda p: p < hash_key(key)))
-    around = F.concat(F.slice(names, index + 1, F.lit(max(1, len(points)))), F.slice(names, F.lit(1), index))
-    return F.slice(F.array_distinct(around), 1, n)
+    if not points:
+        return F.array().cast("array<string>")
+    # What follows each position is known beforehand.
+    names = [name for _, name in points]
+    after = [list(dict.fromkeys(names[i:] + names[:i]))[:n] for i in range(len(points))]
+    return F.element_at(F.array(*(F.array(*(F.lit(x) for x in own)) for own in after)), _before(key, points) % len(points) + 1)
 
 
 def rendezvous(key: Column, nodes: Sequence[str], n: int = 1) -> Column:

@@ -45,6 +45,24 @@ def from_eav(eav: DataFrame) -> DataFrame:
     return one.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("meta_key", "meta_value")))).alias("metadata"))
 
 
+def upsert_eav(eav: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows (id, meta_key, meta_value) after ``changes`` of the same columns: a changed key has its new value, and new keys come in."""
+    new = changes.groupBy("id", "meta_key").agg(F.max("meta_value").alias("meta_value"))
+    return eav.join(new, ["id", "meta_key"], "left_anti").select("id", "meta_key", "meta_value").unionByName(new)
+
+
+def delete_eav(eav: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of all ids but those of ``ids``."""
+    return eav.join(ids.select("id").distinct(), "id", "left_anti").select("id", "meta_key", "meta_value")
+
+
+def merge_json(metadata, changes):
+    """JSON objects as text: the keys of ``changes`` replace those of ``metadata``; null counts as no key."""
+    of = lambda c: F.from_json(F.coalesce(c, F.lit("{}")), "map<string,variant>")
+    old = F.map_filter(of(metadata), lambda k, _: ~F.array_contains(F.map_keys(of(changes)), k))
+    return F.when(changes.isNull(), metadata).otherwise(F.to_json(F.map_concat(old, of(changes))))
+
+
 def metadata_errors(df: DataFrame, metadata: str = "metadata") -> DataFrame:
     """(id, error) of rows whose metadata map breaks a limit."""
     m = F.col(metadata)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.errors import IndexNotBuilt
@@ -29,19 +30,28 @@ def _order_sums(x: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray
     return np.stack([D.exact(x, np.broadcast_to(c, x.shape), metric) for c in centroids], axis=1)
 
 
-def assign(vectors: DataFrame, centroids: np.ndarray, metric: str = "l2") -> DataFrame:
-    """(id, cid, vector): the nearest centroid, the lowest among equals.  Centroids are a bounded matrix."""
-    shared = vectors.sparkSession.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
+def assign(vectors: DataFrame, centroids: np.ndarray, metric: str = "l2", codebook: np.ndarray | None = None) -> DataFrame:
+    """(id, cid, vector [, codes]): the nearest centroid, the lowest among equals; codes are those of what is left of the vector.
+
+    Centroids and codebook are bounded matrices; one pass gives cell and codes.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast((np.asarray(centroids, dtype=np.float64), codebook))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
+        c, book = shared.value
         for batch in batches:
-            near = [_order_sums(_matrix(batch.column(1).slice(i, 4096)), c, metric).argmin(axis=1) for i in range(0, batch.num_rows, 4096)]
-            cid = np.concatenate(near) if near else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cid.astype(np.int32)), batch.column(1)], ["id", "cid", "vector"])
+            for i in range(0, batch.num_rows, 4096):
+                own = batch.slice(i, 4096)
+                x = _matrix(own.column(1))
+                cid = _order_sums(x, c, metric).argmin(axis=1)
+                out = [own.column(0), pa.array(cid.astype(np.int32)), own.column(1)]
+                if book is not None:
+                    out.append(Q.code_lists(Q.pq_codes(x - c[cid], book)))
+                yield pa.RecordBatch.from_arrays(out, ["id", "cid", "vector", "codes"][: len(out)])
 
     rows = vectors.select(F.col("id").cast("long").alias("id"), D.vector(F.col("vector")).alias("vector"))
-    return rows.where(F.size("vector") == centroids.shape[1]).mapInArrow(run, "id long, cid int, vector array<double>")
+    schema = "id long, cid int, vector array<double>" + (", codes array<short>" if codebook is not None else "")
+    return rows.where(F.size("vector") == centroids.shape[1]).mapInArrow(run, schema)
 
 
 def means(assigned: DataFrame) -> DataFrame:
@@ -104,6 +114,11 @@ def nearest_cells(query: Sequence[float], centroids: np.ndarray, nprobe: int, me
     return np.lexsort((np.arange(len(d)), d))[: max(1, nprobe)].tolist()
 
 
+def stale(changed: int) -> bool:
+    """True if so many rows have changed since the build that the index is to be built again."""
+    return changed > max(100, int(REBUILD_ROWS * REBUILD_SHARE))
+
+
 @dataclass
 class IvfIndex:
     """Vectors in cells, and a buffer of vectors that came after the build."""
@@ -115,16 +130,18 @@ class IvfIndex:
     buffer: DataFrame | None = None
     path: str | None = field(default=None)
 
-    def search(self, query: Sequence[float], k: int = 10, nprobe: int = NPROBE) -> DataFrame:
-        """Top k of the probed cells and the buffer: id, distance, score.
+    def search(self, query: Sequence[float], k: int = 10, nprobe: int = NPROBE, dead: DataFrame | None = None) -> DataFrame:
+        """Top k of the probed cells and the buffer, but for the ids in ``dead`` (a bounded table): id, distance, score.
 
         Cells are literals, so a table partitioned by cid reads only their folders.
         With a codebook, 10 k candidates by codes are reranked exactly.
         """
-        own = self.lists.where(F.col("cid").isin(nearest_cells(query, self.centroids, nprobe, self.metric)))
+        cells = nearest_cells(query, self.centroids, nprobe, self.metric)
+        own = self.lists.where(F.col("cid").isin(cells))
+        if dead is not None:
+            own = own.join(F.broadcast(dead), "id", "left_anti")
         if self.codebook is not None:
-            approx = Q.pq_distance(F.col("codes"), Q.pq_table(query, self.codebook))
-            own = own.select("id", "vector", approx.alias("approx")).orderBy("approx", "id").limit(Q.OVERSAMPLE * k)
+            own = self._by_codes(own, query, cells).orderBy("approx", "id").limit(Q.OVERSAMPLE * k)
         rows = own.select("id", "vector")
         if self.buffer is not None:
             rows = rows.unionByName(self.buffer.select("id", D.vector(F.col("vector")).alias("vector")).join(rows.select("id"), "id", "left_anti"))
@@ -132,8 +149,26 @@ class IvfIndex:
         top = rows.select("id", d.alias("distance")).orderBy("distance", "id").limit(max(0, k))
         return top.select("id", "distance", D.score(F.col("distance"), self.metric).alias("score"))
 
+    def _by_codes(self, rows: DataFrame, query: Sequence[float], cells: list[int]) -> DataFrame:
+        """(id, vector, approx): each cell has a table of the distances of the query, less its centroid, to the codewords."""
+        tables = {c: np.array(Q.pq_table(np.asarray(query, dtype=np.float64) - self.centroids[c], self.codebook)) for c in cells}
+        shared = rows.sparkSession.sparkContext.broadcast(tables)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cid, codes = batch.column(1).to_numpy(), _matrix(batch.column(3)).astype(np.int64)
+                approx = np.zeros(batch.num_rows)
+                for c in np.unique(cid):
+                    own = cid == c
+                    table = shared.value[int(c)]
+                    for part in range(codes.shape[1]):
+                        approx[own] += table[part, codes[own, part]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(approx)], ["id", "vector", "approx"])
+
+        return rows.select("id", "cid", "vector", "codes").mapInArrow(run, "id long, vector array<double>, approx double")
+
     def needs_rebuild(self) -> bool:
-        return self.buffer is not None and self.buffer.count() > max(100, int(REBUILD_ROWS * REBUILD_SHARE))
+        return self.buffer is not None and stale(self.buffer.count())
 
     def export(self) -> DataFrame:
         return self.lists.select("id", "vector")
@@ -146,16 +181,32 @@ def build_ivf(vectors: DataFrame, cells: int = CELLS, metric: str = "l2", parts:
     centroids = kmeans(vectors, cells, metric, rounds, init)
     if not len(centroids):
         raise IndexNotBuilt("no vectors")
-    lists, book = assign(vectors, centroids, metric), None
-    if parts:
-        book = Q.pq_train(vectors, parts, codewords=codewords)
-        lists = lists.join(Q.pq_encode(vectors, book), "id")
+    book = None
+    if parts:  # codes are of what the centroid leaves of a vector
+        x = Q.sample_matrix(vectors)
+        book = Q.pq_fit(x - centroids[_order_sums(x, centroids, metric).argmin(axis=1)], parts, codewords)
+    lists = assign(vectors, centroids, metric, book)
     if path:
         lists.repartition("cid").write.mode("overwrite").partitionBy("cid").parquet(path)
-        lists = vectors.sparkSession.read.parquet(path)
+        lists = vectors.sparkSession.read.schema(lists.schema).parquet(path)
     return IvfIndex(centroids, lists, metric, book, path=path)
 
 
+def pack(index: IvfIndex) -> bytes:
+    """Centroids and codebook as bytes; the lists are a table of their own."""
+    out = io.BytesIO()
+    np.savez(out, centroids=index.centroids, **({} if index.codebook is None else {"codebook": index.codebook}))
+    return out.getvalue()
+
+
+def unpack(spark: SparkSession, content: bytes, path: str, metric: str) -> IvfIndex:
+    """The index whose lists were written to ``path``."""
+    model = np.load(io.BytesIO(content))
+    book = model["codebook"] if "codebook" in model else None
+    schema = "id long, vector array<double>, " + ("codes array<short>, " if book is not None else "") + "cid int"
+    return IvfIndex(model["centroids"], spark.read.schema(schema).parquet(path), metric, book, path=path)
+
+
 def build_posting_lists(vectors: DataFrame, cells: int = CELLS, metric: str = "l2", path: str | None = None) -> IvfIndex:
     """The posting-list profile: random start (seed 42), 20 rounds."""
     return build_ivf(vectors, cells, metric, path=path, init="random", rounds=20)

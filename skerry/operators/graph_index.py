@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import io
 import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ from skerry.functions import distance as D
 #: Links a layer (twice on the lowest), beam while building, beam while searching; rows of a shard.
 M, EF_BUILD, EF, SHARD_ROWS = 16, 200, 50, 5000
 SEED = 3
-GRAPH = "shard int, entry boolean, id long, level int, vector array<double>, links array<array<int>>"
+GRAPH = "shard int, n long, graph binary"
+#: Queries of one pass of a search.
+PASS = 4096
 
 
 class Graph:
@@ -103,8 +107,32 @@ class Graph:
         return [i for _, i in self.beam(q, at, max(ef, k), 0)]
 
 
+    def pack(self, ids: np.ndarray) -> bytes:
+        """The graph and its rows' ids as bytes."""
+        flat = [layer for node in self.links for layer in node]
+        out = io.BytesIO()
+        ends = np.cumsum([len(x) for x in flat])
+        np.savez(out, x=self.x, ids=ids, level=np.array(self.level), ends=ends, links=np.array([j for x in flat for j in x], dtype=np.int32), entry=self.entry)
+        return out.getvalue()
+
+    @staticmethod
+    def unpack(content: bytes, metric: str) -> tuple["Graph", np.ndarray]:
+        z = np.load(io.BytesIO(content))
+        g = Graph(z["x"], metric)
+        g.level, g.entry = z["level"].tolist(), int(z["entry"])
+        flat = [x.tolist() for x in np.split(z["links"], z["ends"][:-1])] if len(z["ends"]) else []
+        at = 0
+        for level in g.level:
+            g.links.append(flat[at : at + level + 1])
+            at += level + 1
+        return g, z["ids"]
+
+
 def build_graphs(vectors: DataFrame, metric: str = "l2", shards: int | None = None) -> DataFrame:
-    """The index as a table, one graph a shard of about ``SHARD_ROWS`` rows: (shard, entry, id, level, vector, links)."""
+    """The index as a table, one row a shard of about ``SHARD_ROWS`` vectors: (shard, n, graph).
+
+    Written, it is searched without a shuffle: a shard's graph comes with its row.
+    """
     shards = shards or max(1, -(-vectors.count() // SHARD_ROWS))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -112,30 +140,39 @@ def build_graphs(vectors: DataFrame, metric: str = "l2", shards: int | None = No
         g, rng = Graph(np.stack(pdf["vector"].to_numpy()), metric), np.random.default_rng(SEED)
         for u in rng.random(len(pdf)):
             g.add(int(-math.log(1 - u) / math.log(M)))
-        return pd.DataFrame({"shard": pdf["shard"], "entry": np.arange(len(pdf)) == g.entry, "id": pdf["id"], "level": g.level, "vector": pdf["vector"], "links": g.links})
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n": [len(pdf)], "graph": [g.pack(pdf["id"].to_numpy())]})
 
     own = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.col("id").cast("long").alias("id"), D.vector(F.col("vector")).alias("vector"))
     return own.groupBy("shard").applyInPandas(build, GRAPH)
 
 
 def search_graphs(index: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", ef: int = EF) -> DataFrame:
-    """Approximate kNN of a bounded query table (qid, q) in every shard's graph, merged: qid, id, distance, score, rank."""
-    asked = [(r.qid, np.asarray(r.q, dtype=np.float64)) for r in queries.select("qid", D.vector(F.col("q")).alias("q")).collect()]
-    shared = queries.sparkSession.sparkContext.broadcast(asked)
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        g = Graph(np.stack(pdf["vector"].to_numpy()), metric)
-        g.level, g.links = pdf["level"].tolist(), [[list(x) for x in node] for node in pdf["links"]]
-        g.entry = int(np.flatnonzero(pdf["entry"])[0])
-        out = []
-        for qid, q in shared.value:
-            near = g.search(q, k, ef)
-            d = D.exact(np.broadcast_to(q, (len(near), len(q))), g.x[near], metric)
-            out += [(qid, int(ids[i]), float(e)) for i, e in zip(near, d, strict=True)]
-        return pd.DataFrame(out, columns=["qid", "id", "distance"])
-
-    found = index.groupBy("shard").applyInPandas(find, "qid long, id long, distance double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    """Approximate kNN of a query table (qid, q) in every shard's graph, merged: qid, id, distance, score, rank.
+
+    Queries are answered in passes of ``PASS``, which bounds what is broadcast.
+    """
+    spark, out = queries.sparkSession, None
+    n = queries.count()
+    passes = max(1, -(-2 * n // PASS)) if n > PASS else 1
+    for i in range(passes):
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i) if passes > 1 else queries
+        asked = [(r.qid, np.asarray(r.q, dtype=np.float64)) for r in own.select("qid", D.vector(F.col("q")).alias("q")).collect()]
+        found = index.select("graph").mapInArrow(_finder(spark.sparkContext.broadcast(asked), k, metric, ef), "qid long, id long, distance double")
+        out = found if out is None else out.unionAll(found)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
     return ranked.select("qid", "id", "distance", D.score(F.col("distance"), metric).alias("score"), "rank")
+
+
+def _finder(shared, k: int, metric: str, ef: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                g, ids = Graph.unpack(content.as_py(), metric)
+                out = []
+                for qid, q in shared.value:
+                    near = g.search(q, k, ef) if len(q) == g.x.shape[1] else []
+                    d = D.exact(np.broadcast_to(q, (len(near), len(q))), g.x[near], metric) if near else []
+                    out += [(qid, int(ids[i]), float(e)) for i, e in zip(near, d, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["qid", "id", "distance"])
+
+    return find

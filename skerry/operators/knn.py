@@ -116,8 +116,15 @@ def filtered_knn(vectors: DataFrame, query: Sequence[float], spec: Mapping[str,
 
 
 def hydrate(results: DataFrame, metadata: DataFrame, key: str = "id") -> DataFrame:
-    """Results with the metadata of their ids; ids without metadata stay.  The few results are the broadcast side."""
-    return metadata.join(F.broadcast(results), key, "right")
+    """Results with the metadata of their ids; ids without metadata stay.
+
+    ``results`` is a bounded list (k rows a query of a pass): it is taken once, and the
+    metadata are cut to its ids where they are scanned, so they are not shuffled.
+    """
+    spark = results.sparkSession
+    few = spark.createDataFrame(results.toArrow(), results.schema)
+    own = metadata.join(F.broadcast(few.select(key)), key, "left_semi")
+    return few.join(F.broadcast(own), key, "left").select(*few.columns, *(c for c in metadata.columns if c != key))
 
 
 def merge_results(first: DataFrame, second: DataFrame, k: int) -> DataFrame:

@@ -88,34 +88,53 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return out
 
 
-def pq_train(vectors: DataFrame, m: int = 8, sample: int = SAMPLE, codewords: int = CODEWORDS) -> np.ndarray:
-    """(m, codewords, dim / m) codebook, fitted on the ``sample`` rows lowest by a hash of id."""
+def sample_matrix(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """The vectors of the ``sample`` rows lowest by a hash of id."""
     rows = vectors.select("id", D.vector(F.col("vector")).alias("v")).orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
-    x = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+    return rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+
+
+def pq_fit(x: np.ndarray, m: int = 8, codewords: int = CODEWORDS) -> np.ndarray:
+    """(m, codewords, dim / m) codebook of the rows of x."""
     if x.shape[1] % m:
         raise DimensionMismatch(f"{x.shape[1]} dimensions can't be cut into {m} parts")
     rng, width = np.random.default_rng(SEED), x.shape[1] // m
     return np.stack([kmeans(x[:, i * width : (i + 1) * width], codewords, ROUNDS, rng) for i in range(m)])
 
 
+def pq_train(vectors: DataFrame, m: int = 8, sample: int = SAMPLE, codewords: int = CODEWORDS) -> np.ndarray:
+    """A codebook fitted on a bounded sample."""
+    return pq_fit(sample_matrix(vectors, sample), m, codewords)
+
+
+def pq_codes(x: np.ndarray, codebook: np.ndarray) -> np.ndarray:
+    """(rows, m): the nearest codeword of every part, the lowest among equals."""
+    m, _, width = codebook.shape
+    x = x.reshape(len(x), m, width)
+    codes = np.empty((len(x), m), dtype=np.int16)
+    for i in range(m):
+        total = np.zeros((len(x), codebook.shape[1]))
+        for j in range(width):  # in order, as the columns sum
+            d = x[:, i, j, None] - codebook[i, :, j]
+            total += d * d
+        codes[:, i] = total.argmin(axis=1)
+    return codes
+
+
+def code_lists(codes: np.ndarray) -> pa.Array:
+    n, m = codes.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * m + 1, m, dtype=np.int32)), pa.array(codes.reshape(-1)))
+
+
 def pq_encode(vectors: DataFrame, codebook: np.ndarray) -> DataFrame:
     """(id, codes): the nearest codeword of every part, the lowest among equals."""
     m, _, width = codebook.shape
     shared = vectors.sparkSession.sparkContext.broadcast(codebook)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = shared.value
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, m, width)
-            codes = np.empty((batch.num_rows, m), dtype=np.int16)
-            for i in range(m):
-                total = np.zeros((batch.num_rows, book.shape[1]))
-                for j in range(width):  # in order, as the columns sum
-                    d = x[:, i, j, None] - book[i, :, j]
-                    total += d * d
-                codes[:, i] = total.argmin(axis=1)
-            offsets = pa.array(np.arange(0, batch.num_rows * m + 1, m, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(codes.reshape(-1)))], ["id", "codes"])
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), code_lists(pq_codes(x.reshape(batch.num_rows, -1), shared.value))], ["id", "codes"])
 
     rows = vectors.select(F.col("id").cast("long").alias("id"), D.vector(F.col("vector")).alias("v")).where(F.size("v") == m * width)
     return rows.mapInArrow(run, "id long, codes array<short>")

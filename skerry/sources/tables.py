@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +24,23 @@ IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".gif")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where none is set (tests)."""
+    """``spark.checkpoint.dir``; a folder of this machine only where none is set and all runs in this JVM (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else f"file://{tempfile.mkdtemp(prefix='skerry-')}"
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='skerry-')}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, gone when the JVM ends: later plans read it and don't compute it again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/skerry-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -90,9 +106,16 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(id, filename, path, content) of image files, ids from 1 in path order; an embedder is applied as a pandas UDF."""
     from pyspark.sql import Window
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.where(F.lower("path").rlike("(" + "|".join(x.replace(".", r"\.") for x in IMAGE_SUFFIXES) + ")$"))
-    ids = files.select("path").withColumn("id", F.row_number().over(Window.orderBy("path")).cast("long"))
+    suffix = F.lower("path").rlike("(" + "|".join(x.replace(".", r"\.") for x in IMAGE_SUFFIXES) + ")$")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(suffix)
+    # Ranges of paths, numbered each for itself and moved up by what the ranges before hold: no task sees all paths.
+    paths = written(files.select("path").repartitionByRange("path").withColumn("part", F.spark_partition_id()))
+    before, first = 0, {}
+    for part, n in sorted((r.part, r["count"]) for r in paths.groupBy("part").count().collect()):
+        first[part] = before
+        before += n
+    offset = F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in first.items() for x in kv)), F.col("part").cast("long")) if first else F.lit(0).cast("long")
+    ids = paths.select("path", (F.row_number().over(Window.partitionBy("part").orderBy("path")) + offset).alias("id"))
     return files.join(ids, "path").select("id", F.element_at(F.split("path", "/"), -1).alias("filename"), "path", "content")
 
 
