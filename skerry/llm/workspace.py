@@ -44,10 +44,11 @@ class Workspace:
         self._fs.mkdirs(path)
         self._fs.deleteOnExit(path)
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, *folders: str) -> DataFrame:
+        """``df`` as a written table, with a folder for each value of the columns ``folders`` (the last ones of ``df``)."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._skerry_path = path
         self._tables.append(out)

@@ -344,6 +344,52 @@ def test_ann_recall_and_edges(spark):
     assert one_bit_ann.search(few, few, 10).count() == 6
 
 
+@pytest.mark.parametrize("kind", ["even", "clustered", "copies"])
+def test_ann_cells(spark, monkeypatch, kind):
+    """Many cells: recall against brute force, whole rows in the index, and fewer vectors looked at than there are."""
+    rng = np.random.default_rng(6)
+    n, dim = 6000, 32
+    x = rng.standard_normal((n, dim))
+    if kind != "even":
+        x = x * 0.4 + rng.standard_normal((30, dim))[rng.integers(0, 30, n)] * 2
+    if kind == "copies":
+        x[: n // 3] = x[0]  # one vector is a third of all rows
+    monkeypatch.setattr(one_bit_ann, "CELL_ROWS", 150)
+    monkeypatch.setattr(one_bit_ann, "PASS", 25)
+    df = one_bit_ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = {}
+    for r in one_bit_ann.search(df, df.where("vec_id % 100 = 0"), 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, n, 100):
+        d = one_bit_ann.distances(x, np.broadcast_to(x[q], x.shape))
+        best = [i for i in np.lexsort((np.arange(n), d)) if i != q][:10]
+        assert len(got[q]) == 10 and all(np.isclose(d[i], s, rtol=0, atol=0) for i, s in got[q])
+        hits += sum(d[i] <= d[best[-1]] for i, _ in got[q])
+    assert hits / (n / 10) >= 0.95, hits / (n / 10)
+
+
+def test_cell_bounds():
+    """Bounds of cells hold but for rare errors, and leave cells out."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((4000, 32)) * 0.4 + rng.standard_normal((40, 32))[rng.integers(0, 40, 4000)] * 2
+    cells = one_bit_ann.Cells.fit(x, 40)
+    near = cells.nearest(x, 1)[:, 0]
+    radius = np.sqrt(((x - cells.centres[near]) ** 2).sum(axis=1))
+    full = np.unique(near)
+    cells = one_bit_ann.Cells(cells.centres[full], cells.spread)
+    near = np.searchsorted(full, near)
+    low, high = (np.array([f(radius[near == c]) for c in range(len(full))]) for f in (np.min, np.max))
+    q = x[::50]
+    bound = cells.bounds(q, low, high)
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
+    true = np.stack([d[:, near == c].min(axis=1) for c in range(len(full))], axis=1)
+    kth = np.sort(d, axis=1)[:, 10]
+    other = np.ones(bound.shape, dtype=bool)  # the nearest are searched anyway
+    np.put_along_axis(other, cells.nearest(q, one_bit_ann.PROBED), False, axis=1)
+    assert (bound <= true + 1e-9)[other].mean() >= 0.99 and (bound > kth[:, None])[other].mean() >= 0.5
+
+
 def test_ann_bounds():
     rng = np.random.default_rng(5)
     x, q = rng.standard_normal((800, 64)), rng.standard_normal((20, 64))
