@@ -28,6 +28,8 @@ from skerry.llm.workspace import Workspace
 
 #: Signature values in a band, and the chance that a pair exactly at the threshold shares no band.
 ROWS, MISS = 5, 1e-8
+#: Ratio of the sizes of two classes of sets.
+SIZE_STEP = 1.02
 
 
 def n_bands(threshold: float) -> int:
@@ -118,7 +120,9 @@ def _across(ws: Workspace, apart: DataFrame, sets: DataFrame, percent: int) -> D
     labels have, so representatives with too few of those can't have one.  Of the
     others, a link shares one of each side's rarest shingles (prefix filter: all but
     percent of the set, plus one).  Per shingle only members outside its largest
-    label are joined with the others.
+    label are joined with the others, and only with sets of a size that, with what
+    the two can still have in common, allows a link: pages of one template, alike but
+    under the threshold, do not meet.
     """
     tokens = apart.join(sets, "rep").select("rep", "label", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
     seen = ws.write(tokens.groupBy("g").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g", "df"))
@@ -126,12 +130,17 @@ def _across(ws: Workspace, apart: DataFrame, sets: DataFrame, percent: int) -> D
     own = Window.partitionBy("rep")
     shared = shared.withColumn("place", F.row_number().over(own.orderBy("df", "g"))).withColumn("s", F.count("*").over(own))
     prefix = F.expr(f"n - cast(ceil({percent} * n / 100.0) as bigint) + 1 - (n - s)")
-    # From the first common shingle on, a pair has at most this many in common.
-    prefix = ws.write(shared.where(F.col("place") <= prefix).select("g", "rep", "label", "n", (F.col("s") - F.col("place") + 1).alias("most")))
+    # From the first common shingle on, a pair has at most this many in common, which bounds the other's size.
+    most = F.col("s") - F.col("place") + 1
+    least_n = F.expr(f"cast(ceil({percent} * n / 100.0) as bigint)")
+    most_n = F.least(F.expr(f"cast(floor(100 * n / {percent}.0) as bigint)"), F.floor((100 + percent) * F.col("most") / float(percent)).cast("long") - F.col("n"))
+    prefix = shared.where(F.col("place") <= prefix).select("g", "rep", "label", "n", most.alias("most"))
+    prefix = ws.write(prefix.withColumn("from_n", least_n).withColumn("to_n", most_n).where("from_n <= to_n"))
     largest = ws.write(prefix.groupBy("g", "label").count().groupBy("g").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("g", F.col("top.label").alias("major")))
-    few = prefix.join(largest, "g").where("label <> major").select("g", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("most").alias("mx"))
+    size = lambda n: F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
+    few = prefix.join(largest, "g").where("label <> major").select("g", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.explode(F.sequence(size(F.col("from_n")), size(F.col("to_n")))).alias("size"))
     enough = f"{100 + percent}L * least(most, mx) >= {percent}L * (n + nx)"
-    pairs = few.join(prefix, "g").where(F.expr(f"label <> lx and 100L * least(n, nx) >= {percent}L * greatest(n, nx) and {enough}"))
+    pairs = few.join(prefix.withColumn("size", size(F.col("n"))), ["g", "size"]).where(F.expr(f"label <> lx and 100L * least(n, nx) >= {percent}L * greatest(n, nx) and {enough}"))
     out = ws.write(pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct())
     ws.drop(seen, prefix, largest)
     return out

@@ -686,6 +686,17 @@ def test_across_finds_every_link(spark):
     assert {(r.a, r.b) for r in found.collect()} == want and want
 
 
+def test_pages_of_a_template_do_not_meet(spark):
+    """Hundreds of pages that share nine tenths of their shingles but do not link: no pair is looked at; those that link are found."""
+    sets = [(i, [*range(90), *range(1000 * i + 1000, 1000 * i + 1010)]) for i in range(400)]
+    sets += [(1000 + i, [*range(90), *range(900_000, 900_006), *range(1000 * i + 950_000, 1000 * i + 950_002)]) for i in range(3)]
+    table = spark.createDataFrame(sets, "rep long, shingles array<long>")
+    pairs = {(r.a, r.b) for r in minmax_dedup._across(Workspace(spark), table.select("rep", F.col("rep").alias("label")), table, 85).collect()}
+    linked = lambda x, y: 100 * len(set(x) & set(y)) >= 85 * len(set(x) | set(y))
+    own = dict(sets)
+    assert {(1000, 1001), (1000, 1002), (1001, 1002)} <= pairs and all(linked(own[a], own[b]) for a, b in pairs)
+
+
 def test_common_shingle_makes_few_pairs(spark):
     """Two thousand documents that share a shingle and nothing else, though all were put into one bucket: few pairs are looked at."""
     sets = [(i, [0, *range(10 * i + 10, 10 * i + 18)]) for i in range(2000)]
