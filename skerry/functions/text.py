@@ -19,14 +19,10 @@ STOP_WORDS = (
 )
 
 
-_WORD = r"[\p{L}\p{Nd}]"
-#: A whole word that is neither a stop word nor a single byte.
-_PATTERN = rf"(?<!{_WORD})(?!(?:{'|'.join(STOP_WORDS)}|[a-z0-9])(?!{_WORD})){_WORD}+"
+_WORDS = r"[\p{L}\p{Nd}]+"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits of two bytes or more that are no stop words, in order.
-
-    One regular expression does all of it, so no function runs word by word.
-    """
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_PATTERN), F.lit(0))
+    """Lower-cased runs of letters and digits of two bytes or more that are no stop words, in order."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WORDS), F.lit(0))
+    return F.filter(found, lambda w: (F.octet_length(w) >= 2) & ~w.isin(*STOP_WORDS))
