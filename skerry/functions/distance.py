@@ -7,6 +7,7 @@ smaller is nearer for every metric.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -18,7 +19,14 @@ def vector(v: Column | Sequence[float]) -> Column:
     """An array column of doubles, from a column or from literal values."""
     if isinstance(v, Column):
         return v.cast("array<double>")
-    return F.array(*(F.lit(float(x)) for x in v))
+    if not len(v):
+        return F.array().cast("array<double>")
+    # One expression: a literal at a time would be a call to the JVM each.
+    return F.expr(f"array({', '.join(_literal(float(x)) for x in v)})")
+
+
+def _literal(x: float) -> str:
+    return f"{x!r}D" if math.isfinite(x) else f"double('{x!r}')"
 
 
 def _sum(values: Column) -> Column:

@@ -26,8 +26,8 @@ def ring(nodes: Sequence[str], vnodes: int = VNODES) -> list[tuple[int, str]]:
 def _before(key: Column, points: list[tuple[int, str]]) -> Column:
     """How many positions are under the key's hash, which is computed once: a coarse ring first, then one stretch of the whole."""
     step = max(1, math.isqrt(len(points)))
-    at = F.array(*(F.lit(p) for p, _ in points))
-    coarse = F.array(*(F.lit(p) for p, _ in points[::step]))
+    numbers = lambda own: F.expr(f"array({', '.join(f'{p}L' for p, _ in own)})")
+    at, coarse = numbers(points), numbers(points[::step])
 
     def index(h: Column) -> Column:
         skipped = F.greatest(F.size(F.filter(coarse, lambda p: p < h)) - 1, F.lit(0)) * step
@@ -36,6 +36,13 @@ def _before(key: Column, points: list[tuple[int, str]]) -> Column:
     return F.transform(F.array(hash_key(key)), index)[0]
 
 
+def _at(names: Sequence[str], index: Column) -> Column:
+    """The name at an index that wraps round."""
+    different = sorted(set(names))
+    which = F.expr(f"array({', '.join(str(different.index(n) + 1) for n in names)})")
+    return F.element_at(F.array(*(F.lit(n) for n in different)), F.element_at(which, index % len(names) + 1))
+
+
 def ring_node(key: Column, nodes: Sequence[str], vnodes: int = VNODES) -> Column:
     """The node at the first position not under the key's hash, wrapping round; null on an empty ring.
 
@@ -44,8 +51,7 @@ def ring_node(key: Column, nodes: Sequence[str], vnodes: int = VNODES) -> Column
     points = ring(nodes, vnodes)
     if not points:
         return F.lit(None).cast("string")
-    names = F.array(*(F.lit(n) for _, n in points))
-    return F.element_at(names, _before(key, points) % len(points) + 1)
+    return _at([n for _, n in points], _before(key, points))
 
 
 def ring_nodes(key: Column, nodes: Sequence[str], n: int, vnodes: int = VNODES) -> Column:
@@ -56,7 +62,9 @@ def ring_nodes(key: Column, nodes: Sequence[str], n: int, vnodes: int = VNODES)
     # What follows each position is known beforehand.
     names = [name for _, name in points]
     after = [list(dict.fromkeys(names[i:] + names[:i]))[:n] for i in range(len(points))]
-    return F.element_at(F.array(*(F.array(*(F.lit(x) for x in own)) for own in after)), _before(key, points) % len(points) + 1)
+    kinds = sorted(set(map(tuple, after)))
+    orders = F.array(*(F.array(*(F.lit(x) for x in own)) for own in kinds))
+    return F.element_at(orders, F.element_at(F.expr(f"array({', '.join(str(kinds.index(tuple(own)) + 1) for own in after)})"), _before(key, points) % len(points) + 1))
 
 
 def rendezvous(key: Column, nodes: Sequence[str], n: int = 1) -> Column:
