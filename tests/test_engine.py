@@ -218,3 +218,28 @@ def test_residual_codes_are_finer(spark):
     found = [r.id for r in index.search(x[5].tolist(), 5, 16).collect()]
     assert found == [r.id for r in knn.flat_knn(df, x[5].tolist(), 5).collect()]
     assert index.lists.where(F.size("codes") == 4).count() == 800
+
+
+def test_segment_table(spark, tmp_path):
+    """Committed segments are read whole; files that no manifest names are not; overwriting replaces them."""
+    from skerry.sources import segments
+
+    segments.register(spark)
+    path = f"{tmp_path}/seg"
+    x = np.random.default_rng(1).standard_normal((250, 4)).astype(np.float32)
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "vector array<float>").repartition(3)
+    df.write.format("skerry_segments").option("rows", 40).mode("append").save(path)
+    (tmp_path / "seg" / "left.seg").write_bytes(tables.write_segment(x[:5]))
+    back = spark.read.format("skerry_segments").load(path)
+    assert sorted(tuple(r.vector) for r in back.collect()) == sorted(map(tuple, x.tolist()))
+    assert max(r["count"] for r in back.groupBy("segment").count().collect()) <= 40
+    df.limit(7).write.format("skerry_segments").mode("append").save(path)
+    assert spark.read.format("skerry_segments").load(path).count() == 257
+    df.limit(3).write.format("skerry_segments").mode("overwrite").save(path)
+    assert spark.read.format("skerry_segments").load(path).count() == 3
+    assert len(list((tmp_path / "seg").glob("*.manifest"))) == 1
+    assert spark.read.format("skerry_segments").load(f"{tmp_path}/none").count() == 0
+    mixed = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "vector array<float>").coalesce(1)
+    with pytest.raises(Exception, match="one dimension"):
+        mixed.write.format("skerry_segments").mode("append").save(path)
+    assert spark.read.format("skerry_segments").load(path).count() == 3
