@@ -43,6 +43,14 @@ class Engine:
         self.store = Store(spark, self.root)
         self._version, self._state = 0, {"tenants": {catalog.DEFAULT_TENANT: dict.fromkeys(LIMITS, 0)}, "databases": [[catalog.DEFAULT_TENANT, catalog.DEFAULT_DATABASE]], "collections": {}}
         self._open: dict[str, Collection] = {}
+        self._logs: dict[str, CommitLog] = {}
+
+    def log(self, path: str, first: int = 1) -> CommitLog:
+        """The log of a collection's folder."""
+        if path not in self._logs:
+            self._logs[path] = CommitLog(self.spark, path, _ROWS, first)
+        self._logs[path].first = max(first, self._logs[path].first)
+        return self._logs[path]
 
     def _read(self) -> dict:
         names = self.store.names("catalogue")
@@ -199,7 +207,7 @@ class Collection:
         self.tenant, self.database, self.options = record["tenant"], record["database"], dict(record["options"])
         self.inherited: list[list] = record["inherited"]
         first = self.inherited[-1][1] + 1 if self.inherited else 1
-        self._log = CommitLog(engine.spark, self.path, _ROWS, first)
+        self._log = engine.log(self.path, first)
         self._built: tuple[int, Any] | None = None
 
     @property
@@ -266,9 +274,13 @@ class Collection:
         """Number of the last batch."""
         return self._log.head()
 
+    def _chain(self) -> list[tuple[CommitLog, int]]:
+        """Logs that the rows come from, and the last number of each that counts."""
+        return [(self.engine.log(p), last) for p, last in self.inherited] + [(self._log, self._log.head())]
+
     def _sources(self) -> tuple[int, DataFrame | None, list[tuple[CommitLog, int]]]:
         """(snapshot's number, its rows, logs with the last number of each): what the live rows are made of."""
-        logs = [(CommitLog(self.engine.spark, p, _ROWS), last) for p, last in self.inherited] + [(self._log, self._log.head())]
+        logs = self._chain()
         for i in range(len(logs) - 1, -1, -1):
             if found := logs[i][0].read_snapshot(logs[i][1]):
                 return *found, logs[i:]
@@ -285,8 +297,7 @@ class Collection:
 
     def log(self, after: int = 0) -> DataFrame:
         """Operations (seq, op, id, vector, document, metadata) after a number; those before a truncation are gone."""
-        _, _, logs = 0, None, [(CommitLog(self.engine.spark, p, _ROWS), last) for p, last in self.inherited] + [(self._log, self._log.head())]
-        return self._ops(logs, after, "")
+        return self._ops(self._chain(), after, "")
 
     def _live(self, id: int | None = None) -> DataFrame:
         """Live rows with the number of the batch that brought them."""
@@ -294,9 +305,9 @@ class Collection:
         own = (lambda df: df) if id is None else (lambda df: df.where(F.col("id") == id))
         ops = own(self._ops(logs, seq, oplog.INSERT + oplog.DELETE))
         rows = oplog.fold(ops) if snapshot is None else oplog.fold_on_snapshot(own(snapshot), ops, seq)
-        changes = own(self._ops(logs, seq, UPDATE + CLEAR).select(F.col("seq").alias("at"), "op", "id", F.col("metadata").alias("new")))
         if not any(c.op in UPDATE + CLEAR for log, last in logs for c in log.commits(max(seq, log.cursor()), last)):
             return rows
+        changes = own(self._ops(logs, seq, UPDATE + CLEAR).select(F.col("seq").alias("at"), "op", "id", F.col("metadata").alias("new")))
         # Changes apply to the row that was there, in their order.
         listed = rows.select("id", "seq").join(changes, "id").where("at > seq").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "op", "new"))).alias("changes"))
         merged = F.aggregate("changes", F.col("metadata"), lambda m, c: F.when(c["op"] == CLEAR, F.lit(None).cast("string")).otherwise(catalog.merge_json(m, c["new"])))

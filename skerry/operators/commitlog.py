@@ -39,11 +39,15 @@ class CommitLog:
         """``schema`` is that of a batch's rows; numbers start from ``first``."""
         self.spark, self.path, self.schema, self.first = spark, path.rstrip("/"), schema, first
         self.store = Store(spark, self.path)
+        self._known: dict[str, Commit] = {}  # records never change
 
     def commits(self, after: int = 0, upto: int | None = None) -> list[Commit]:
         """Commit records with after < seq <= upto; one small object a batch."""
         wanted = [n for n in self.store.names("log") if after < int(n[:16]) and (upto is None or int(n[:16]) <= upto)]
-        return [Commit(int(n[:16]), **self.store.get_json(f"log/{n}")) for n in wanted]
+        for n in wanted:
+            if n not in self._known:
+                self._known[n] = Commit(int(n[:16]), **self.store.get_json(f"log/{n}"))
+        return [self._known[n] for n in wanted]
 
     def snapshots(self) -> list[int]:
         return [int(n[:16]) for n in self.store.names("snapshots")]
