@@ -20,8 +20,8 @@ from skerry.llm.workspace import Workspace
 
 #: Rounds at most, and buckets of requests that a quota is cut by.
 ROUNDS, CELLS = 6, 64
-#: Rows that a bucket of a rank holds, about.
-BUCKET_ROWS = 20_000
+#: Rows that a bucket of a rank holds, about, and buckets at least: so many that they spread evenly over any number of tasks.
+BUCKET_ROWS, BUCKETS = 20_000, 512
 
 
 def ranked(df: DataFrame, keys: list[str], spread: Column, order: list[str], buckets: int, name: str) -> DataFrame:
@@ -102,6 +102,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> D
     total = base.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     buckets = max(16, -(-total // (BUCKET_ROWS * shards)))
+    many = max(BUCKETS, buckets)
     start = F.pmod(F.xxhash64("doc_id", "group"), F.lit(shards))
     counts = base.where("group is not null").groupBy("group").agg(
         F.count("*").alias("n"), *(F.count(F.when(start == s, 1)).alias(f"held{s}") for s in range(shards))
@@ -116,12 +117,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> D
     ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: F.aggregate(F.slice("held", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
     shard = F.size(F.filter(ends, lambda e: e <= F.col("number")))
     linked = linked.select("doc_id", "size", "text_crc32", "group", shard.alias("shard"))
-    linked = ws.write(ranked(linked, ["shard"], F.struct("doc_id", "group"), ["group", "doc_id"], buckets, "slot"))
+    linked = ws.write(ranked(linked, ["shard"], F.struct("doc_id", "group"), ["group", "doc_id"], many, "slot"))
     limit = F.element_at(F.array(*(F.lit(q) for q in quota)), F.col("shard") + 1)
     placed = linked.where(F.col("slot") < limit)
     used = dict(placed.groupBy("shard").count().collect())
     rest = both.where("linked is null").select("doc_id", "size", "text_crc32", "group").unionByName(linked.where(F.col("slot") >= limit).select("doc_id", "size", "text_crc32", "group"))
-    rest = ranked(rest.withColumn("one", F.lit(1)), ["one"], F.struct("doc_id", "group"), ["group", "doc_id"], buckets * shards, "number")
+    rest = ranked(rest.withColumn("one", F.lit(1)), ["one"], F.struct("doc_id", "group"), ["group", "doc_id"], many * shards, "number")
     which, slot, at = F.lit(None).cast("int"), F.lit(None).cast("long"), 0
     for s in range(shards):
         have = used.get(s, 0)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import textnum as tn
-from skerry.llm.sampling import held_out, window
+from skerry.llm.sampling import held_out, low_rows, window
 
 #: Bytes of a chunk and between chunk starts; bytes of a filter and between its positions.
 CHUNK, HOP, WIDTH, STRIDE = 256, 192, 6, 2
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Fit on a window of at most CHARACTERS of each of the ``sample`` labelled documents lowest by a hash of doc_id; a doc_id with several labels counts as 1 if any is."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
     ids = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id")).join(marks, "doc_id")
-    ids = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = low_rows(ids, sample).distinct().orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where("text is not null")
     rows = rows.select("doc_id", "y", window("text", "doc_id", CHARACTERS).alias("text"))
     rows = sorted((r.doc_id, r.y, r.text) for r in rows.toLocalIterator())[:sample]

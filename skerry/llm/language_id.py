@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm import textnum as tn
 from skerry.llm.pieces import LONG, MARK, VOCABULARY, Lattice, Vocabulary, load, take_apart, walk_sum
-from skerry.llm.sampling import held_out, window
+from skerry.llm.sampling import held_out, low_rows, window
 
 #: Labelled documents per language that the fit reads at most, characters of each, and its rounds.
 SAMPLE, CHARACTERS, ROUNDS = 300, 20_000, 4
@@ -138,8 +138,9 @@ def train(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> Mode
     So the driver holds 6 MB of characters a language at most.
     """
     labelled = docs.where("text is not null and lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)), "doc_id")
+    chosen = low_rows(labelled, sample, "lang").distinct()
+    chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).where("text is not null")
     rows = rows.select("doc_id", "lang", window("text", "doc_id", CHARACTERS).alias("text"))
     texts: dict[str, list[str]] = {}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import textnum as tn
-from skerry.llm.sampling import window
+from skerry.llm.sampling import low_rows, window
 
 #: Kinds of the base patterns in their order, pattern, group that is measured, its least length.
 BASE = (
@@ -340,8 +340,9 @@ def fit_texts(texts: list[str]) -> Field:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Fit on a window of at most CHARACTERS of each of the ``sample`` documents lowest by a hash of doc_id."""
-    ids = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids.distinct()), "doc_id").where("text is not null")
+    ids = low_rows(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id")), sample).distinct()
+    ids = ids.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)), "doc_id").limit(sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where("text is not null")
     rows = rows.select("doc_id", window("text", "doc_id", CHARACTERS).alias("text"))
     return fit_texts([r.text for r in sorted(rows.toLocalIterator())][:sample])
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm import balanced_shards, byte_cnn, graph, language_id, line_templates, minmax_dedup, one_bit_ann, piece_codec, pieces, preference_chat, registry, secret_crf, spaced_seeds
 from skerry.llm import textnum as tn
+from skerry.llm.sampling import low_rows
 from skerry.llm.workspace import Workspace, shared_dir
 from tests.oracle import same
 
@@ -95,6 +96,18 @@ def test_against_duckdb(spark, name):
     same(registry.queries()[name](spark, SF), registry.oracle_sql()[name], SF)
 
 
+def test_low_rows_hold_the_lowest(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("lang"))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53))
+    for by, n in (((), 1), (("lang",), 2)):
+        got = low_rows(rows, 100, *by)
+        assert got.count() < 350 * n and got.columns == (["lang", "doc_id"] if by else rows.columns)
+        for lang in ("a", "b") if by else (None,):
+            pick = lambda df: {r.doc_id for r in (df if lang is None else df.where(F.col("lang") == lang)).orderBy(h).limit(100).collect()}  # noqa: B023, E731
+            assert pick(got) == pick(rows)
+    assert low_rows(rows.limit(50), 100).count() == 50 and low_rows(rows.limit(0), 100, "lang").count() == 0
+
+
 # --- 1 ---
 
 
@@ -807,7 +820,11 @@ def brute_overlaps(docs, items):
     for (i, t), (j, b) in itertools.product(docs, items):
         x, y = split((t or "").lower()), split((b or "").lower())
         width = min(spaced_seeds.WINDOW, len(y))
-        if y and (len(y) >= spaced_seeds.LEAST or len(x) == len(y)) and any(100 * sum(x[a + k] == y[c + k] for k in range(width)) >= spaced_seeds.PERCENT * width for a in range(len(x) - width + 1) for c in range(len(y) - width + 1)):
+        known, least = set(x), -(-spaced_seeds.PERCENT * width // 100)
+        within = np.concatenate([[0], np.cumsum([w in known for w in y])])
+        if not y or (within[width:] - within[: len(within) - width]).max() < least:
+            continue  # no window has enough words of the document, wherever they stand
+        if (len(y) >= spaced_seeds.LEAST or len(x) == len(y)) and any(100 * sum(x[a + k] == y[c + k] for k in range(width)) >= spaced_seeds.PERCENT * width for a in range(len(x) - width + 1) for c in range(len(y) - width + 1)):
             out.add((i, j))
     return out
 
